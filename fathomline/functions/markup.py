@@ -77,16 +77,24 @@ def filled(table: Column) -> Column:
     return (F.size(F.get(cells, 0)) > 0) & (F.size(body_rows(cells)) > 0)
 
 
-def text_with_placeholders(html: Column, flags: Column) -> Column:
-    """Visible text; each filled table becomes %%TABLE_n%%, n counting filled
-    ones. ``flags`` says per table match whether it is filled."""
-    between = F.split(html, TABLE, -1)
-    matches = find_all(html, TABLE)
+def placeholder_marks(matches: Column, flags: Column) -> Column:
+    """What stands in the text for each table match: %%TABLE_n%% for a filled
+    one (n counts filled ones), the match itself otherwise."""
     number = lambda i: F.size(F.filter(F.slice(flags, 1, i), lambda f: f)).cast("string")
-    outer = lambda m: F.regexp_extract(m, r"(?is)(.*)<table\b", 1)
-    marks = F.transform(matches, lambda m, i: F.when(F.get(flags, i), F.concat(outer(m), F.lit(f"{CUT}%%TABLE_"), number(i), F.lit(f"%%{CUT}"))).otherwise(m))
-    joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(marks, i), F.lit("")))), "")
-    nodes = F.transform(F.split(F.regexp_replace(joined, r"<[^>]+>", CUT), CUT, -1), lambda n: trim_ws(replace_all(n, fixed.HTML_ENTITIES + fixed.CLEAN_ENTITIES[:6])))
+    outer = lambda t: F.regexp_extract(t, r"(?is)(.*)<table\b", 1)
+    mark = lambda t, i: F.concat(outer(t), F.lit(f"{CUT}%%TABLE_"), number(i), F.lit(f"%%{CUT}"))
+    return F.transform(matches, lambda t, i: F.when(F.get(flags, i), mark(t, i)).otherwise(t))
+
+
+def interleave(pieces: Column, between: Column) -> Column:
+    """piece 0, between 0, piece 1, ... as one string."""
+    return F.array_join(F.flatten(F.zip_with(pieces, between, lambda p, b: F.array(p, F.coalesce(b, F.lit(""))))), "")
+
+
+def visible_text(html: Column) -> Column:
+    """Text nodes, trimmed, joined by blanks."""
+    nodes = F.split(F.regexp_replace(html, r"<[^>]+>", CUT), CUT, -1)
+    nodes = F.transform(nodes, lambda n: trim_ws(replace_all(n, fixed.HTML_ENTITIES + fixed.CLEAN_ENTITIES[:6])))
     text = F.array_join(F.filter(nodes, lambda n: n != ""), " ")
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 
@@ -113,16 +121,17 @@ NOTATION = (
 OPEN, CLOSE, RUN = "\ue000", "\ue001", "\ue002"  # private-use characters
 
 
-def protect(text: Column, found: Column, pattern: str, mark: str) -> Column:
-    """Replace the matches ``found`` of ``pattern`` by numbered marks."""
-    pieces = F.split(text, pattern, -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i < F.size(found), F.concat(p, F.lit(mark), i.cast("string"), F.lit(CLOSE))).otherwise(p)), "")
+def protect(text: Column, n: Column, pattern: str, mark: str) -> Column:
+    """Replace the ``n`` matches of ``pattern`` by numbered marks."""
+    marks = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+                        lambda i: F.concat(F.lit(mark), i.cast("string"), F.lit(CLOSE)))
+    return interleave(F.split(text, pattern, -1), marks)
 
 
 def restore(text: Column, found: Column, mark: str) -> Column:
+    """Put the matches back where their marks stand."""
     p = mark + r"(\d+)" + CLOSE
-    at = F.transform(find_all(text, p, 1), lambda i: F.get(found, i.cast("int")))
-    return F.array_join(F.transform(F.split(text, p, -1), lambda s, i: F.concat(s, F.coalesce(F.get(at, i), F.lit("")))), "")
+    return interleave(F.split(text, p, -1), F.transform(find_all(text, p, 1), lambda i: F.get(found, i.cast("int"))))
 
 
 def clean_plain(text: Column) -> Column:

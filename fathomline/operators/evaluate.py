@@ -85,16 +85,22 @@ def truth_numbers(text: Column) -> Column:
     return F.array_distinct(F.filter(raw, ok))
 
 
-def figures_missing(truth: Column, context: Column) -> Column:
-    """Truth figures that do not occur in the text, grouping commas ignored."""
-    plain = F.replace(F.coalesce(context, F.lit("")), F.lit(","), F.lit(""))
-    return F.filter(truth, lambda n: ~F.contains(plain, n))
+def with_plain(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Texts without grouping commas, as columns: stripped once per row, not
+    once per figure looked for."""
+    return df.withColumns({n: F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit("")) for n, c in texts.items()})
+
+
+def figures_missing(truth: str, plain: str) -> Column:
+    """Truth figures that do not occur in the (comma-free) text."""
+    return F.filter(truth, lambda n: ~F.contains(F.col(plain), n))
 
 
 def numeric_hit_rate(rows: DataFrame, truth: str, stages: list[str]) -> DataFrame:
     """Share of rows with any truth figure in each stage's text, long form."""
     t = rows.withColumn("_t", truth_numbers(F.col(truth))).where(F.size("_t") > 0)
-    aggs = [F.avg((F.size(figures_missing(F.col("_t"), F.col(s))) < F.size("_t")).cast("double")).alias(s) for s in stages]
+    t = with_plain(t, {f"_p_{s}": F.col(s) for s in stages})
+    aggs = [F.avg((F.size(figures_missing("_t", f"_p_{s}")) < F.size("_t")).cast("double")).alias(s) for s in stages]
     wide = t.agg(F.count(F.lit(1)).alias("total"), *aggs)
     r = F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("hit_rate")) for s in stages])).alias("r")
     return wide.select("total", r).select("r.stage", "r.hit_rate", "total")
@@ -102,18 +108,18 @@ def numeric_hit_rate(rows: DataFrame, truth: str, stages: list[str]) -> DataFram
 
 def context_coverage(rows: DataFrame, key: str, truth: str, context: str) -> DataFrame:
     """Per question: figures wanted, figures missing, fully covered."""
-    t = truth_numbers(F.col(truth))
-    missing = figures_missing(t, F.col(context))
-    return rows.select(key, F.size(t).alias("wanted"), F.size(missing).alias("missing"), (F.size(missing) == 0).alias("covered"))
+    t = with_plain(rows.withColumn("_t", truth_numbers(F.col(truth))), {"_p": F.col(context)})
+    t = t.withColumn("_m", F.size(figures_missing("_t", "_p")))
+    return t.select(key, F.size("_t").alias("wanted"), F.col("_m").alias("missing"), (F.col("_m") == 0).alias("covered"))
 
 
 def answer_correctness(rows: DataFrame, answer: str, expected_numbers: str, expected_tickers: str) -> DataFrame:
     """All expected figures present (commas and blanks ignored); tickers named."""
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(answer), F.lit(""))), r"[,\s]", "")
-    ok = F.forall(expected_numbers, lambda n: F.contains(plain, F.regexp_replace(n, r"[,\s]", "")))
-    upper = F.upper(F.coalesce(F.col(answer), F.lit("")))
-    named = F.filter(expected_tickers, lambda t: F.contains(upper, t))
-    return rows.withColumns({"numbers_correct": ok, "tickers_covered": named, "coverage_complete": F.size(named) == F.size(F.col(expected_tickers))})
+    text = F.coalesce(F.col(answer), F.lit(""))
+    df = rows.withColumns({"_p": F.regexp_replace(F.lower(text), r"[,\s]", ""), "_u": F.upper(text)})
+    ok = F.forall(expected_numbers, lambda n: F.contains("_p", F.regexp_replace(n, r"[,\s]", "")))
+    df = df.withColumns({"numbers_correct": ok, "tickers_covered": F.filter(expected_tickers, lambda t: F.contains("_u", t))})
+    return df.withColumn("coverage_complete", F.size("tickers_covered") == F.size(expected_tickers)).drop("_p", "_u")
 
 
 # --- runs and rankings -------------------------------------------------------

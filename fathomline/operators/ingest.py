@@ -21,16 +21,15 @@ def parse_filings(files: DataFrame, raw: str = "content") -> DataFrame:
     """Adds ``tables`` (Markdown), ``text_content`` with placeholders,
     ``table_count`` and ``table_positions``. Innermost tables are converted."""
     df = files.withColumn("_html", m.without_invisible(m.main_document(F.col(raw))))
-    df = df.withColumn("_cells", F.transform(m.table_html(F.col("_html")), lambda t: m.table_cells(t)))
-    df = df.withColumn("_flags", F.transform("_cells", lambda c: (F.size(F.get(c, 0)) > 0) & (F.size(m.body_rows(c)) > 0)))
-    df = df.withColumns({
-        "tables": F.filter(F.transform("_cells", lambda c: m.markdown(c)), lambda t: t != ""),
-        "text_content": m.text_with_placeholders(F.col("_html"), F.col("_flags"))})
-    spot = F.transform("tables", lambda _, i: F.concat(F.lit("%%TABLE_"), i.cast("string"), F.lit("%%")))
-    positions = F.filter(
-        F.transform(spot, lambda s: F.struct((F.position(s, F.col("text_content")) - 1).alias("start"), (F.position(s, F.col("text_content")) - 1 + F.length(s)).alias("end"))),
-        lambda p: p["start"] >= 0)
-    return df.withColumns({"table_count": F.size("tables"), "table_positions": positions}).drop("_html", "_cells", "_flags")
+    df = df.withColumns({"_match": find_all(F.col("_html"), m.TABLE), "_between": F.split("_html", m.TABLE, -1)})
+    df = df.withColumn("_cells", F.transform("_match", lambda t: m.table_cells(m.leaf(t))))
+    df = df.withColumn("_md", F.transform("_cells", lambda c: m.markdown(c)))
+    df = df.withColumns({"_flags": F.transform("_md", lambda t: t != ""), "tables": F.filter("_md", lambda t: t != "")})
+    df = df.withColumn("text_content", m.visible_text(m.interleave(F.col("_between"), m.placeholder_marks(F.col("_match"), F.col("_flags")))))
+    mark = lambda i: F.concat(F.lit("%%TABLE_"), i.cast("string"), F.lit("%%"))
+    spots = F.transform("tables", lambda _, i: F.struct(F.position(mark(i), F.col("text_content")).alias("p"), F.length(mark(i)).alias("n")))
+    positions = F.transform(F.filter(spots, lambda x: x["p"] > 0), lambda x: F.struct((x["p"] - 1).alias("start"), (x["p"] - 1 + x["n"]).alias("end")))
+    return df.withColumns({"table_count": F.size("tables"), "table_positions": positions}).drop("_html", "_match", "_between", "_cells", "_md", "_flags")
 
 
 def table_rows(files: DataFrame, key: str, raw: str = "content") -> DataFrame:
@@ -53,17 +52,18 @@ def clean_financial_text(docs: DataFrame, text: str, out: str = "clean_text") ->
     """Cleaned text with figures and pipe tables untouched: both are replaced by
     numbered marks, the rest is cleaned, the marks are resolved again."""
     df = docs.withColumn("_fig", find_all(F.col(text), m.NOTATION))
-    df = df.withColumn("_t", m.protect(F.col(text), F.col("_fig"), m.NOTATION, m.OPEN))
+    df = df.withColumn("_t", m.protect(F.col(text), F.size("_fig"), m.NOTATION, m.OPEN))
     df = df.withColumn("_lines", F.split("_t", "\n", -1)).withColumn("_flags", F.transform("_lines", lambda x: m.is_pipe_line(x)))
     df = df.withColumn("_runs", m.table_runs(F.col("_lines"), F.col("_flags")))
     df = df.withColumn("_tabs", F.transform("_runs", lambda r: F.array_join(F.slice("_lines", r["s"], r["e"] - r["s"] + 1), "\n")))
-    first = F.transform("_runs", lambda r: r["s"])
-    mark = lambda i: F.concat(F.lit(m.RUN), (F.array_position(first, i) - 1).cast("string"), F.lit(m.CLOSE))
-    marked = F.transform("_lines", lambda x, i: F.when(~F.get("_flags", i), x).when(F.array_contains(first, i + 1), mark(i + 1)))
+    df = df.withColumn("_first", F.transform("_runs", lambda r: r["s"]))
+    place = lambda i: F.array_position("_first", i + 1)
+    mark = lambda i: F.concat(F.lit(m.RUN), (place(i) - 1).cast("string"), F.lit(m.CLOSE))
+    marked = F.transform("_lines", lambda x, i: F.when(~F.get("_flags", i), x).when(place(i) > 0, mark(i)))
     df = df.withColumn("_t", m.clean_plain(F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n")))
     df = df.withColumn("_t", m.restore(F.col("_t"), F.col("_tabs"), m.RUN)).withColumn("_t", m.restore(F.col("_t"), F.col("_fig"), m.OPEN))
     blank = F.coalesce(trim_ws(F.col(text)), F.lit("")) == ""
-    return df.withColumn(out, F.when(blank, "").otherwise(F.col("_t"))).drop("_fig", "_t", "_lines", "_flags", "_runs", "_tabs")
+    return df.withColumn(out, F.when(blank, "").otherwise(F.col("_t"))).drop("_fig", "_t", "_lines", "_flags", "_runs", "_tabs", "_first")
 
 
 # --- metadata ----------------------------------------------------------------
@@ -96,45 +96,46 @@ def last_header(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.substring(trim_ws(F.element_at(found, -1)), 1, fixed.SECTION_LABEL_CHARS))
 
 
-def running_label(pieces: Column) -> Column:
-    """Per piece the nearest header in earlier pieces (as-of by position)."""
-    labels = F.transform(pieces, lambda p: last_header(p))
-    seen = lambda i: F.filter(F.slice(labels, 1, i), lambda x: x.isNotNull())
-    return F.transform(pieces, lambda _, i: F.when(F.size(seen(i)) > 0, F.element_at(seen(i), -1)).otherwise(fixed.GENERAL))
+def running_label(df: DataFrame, pieces: str, out: str) -> DataFrame:
+    """Adds per piece the nearest header in earlier pieces (as-of by position).
+    The labels are a column of their own, computed once per filing."""
+    df = df.withColumn("_lab", F.transform(pieces, lambda p: last_header(p)))
+    seen = lambda i: F.filter(F.slice("_lab", 1, i), lambda x: x.isNotNull())
+    near = F.transform("_lab", lambda _, i: F.coalesce(F.get(F.reverse(seen(i)), 0), F.lit(fixed.GENERAL)))
+    return df.withColumn(out, near).drop("_lab")
 
 
 PLACEHOLDER = r"%%TABLE_(\d+)%%"
 
 
-def placeholder_sections(text: Column) -> Column:
-    """Array of (table_index, section) per placeholder."""
-    pieces = F.split(text, PLACEHOLDER, -1)
-    labels, ids = running_label(pieces), find_all(text, PLACEHOLDER, 1)
-    return F.transform(ids, lambda n, i: F.struct(n.cast("int").alias("table_index"), F.get(labels, i + 1).alias("section")))
-
-
-def table_chunks_in_text(text: Column) -> Column:
-    """Array of (section, table, rest): each pipe table with the footnote lines
-    right below it is one piece; ``rest`` is the text that follows. The first
-    entry has a null table and holds the text before the first one."""
-    lines = F.split(text, "\n", -1)
-    table = lambda x: x.rlike("(?d)" + fixed.TABLE_LINE)
-    flags = F.transform(lines, lambda x: table(x))
-    marked = F.transform(lines, lambda x, i: F.when(F.get(flags, i) & ~F.when(i > 0, F.get(flags, i - 1)).otherwise(F.lit(False)), F.concat(F.lit(m.RUN), x)).otherwise(x))
-    pieces = F.split(F.array_join(marked, "\n"), m.RUN, -1)
-    kinds = lambda ls: F.array_join(F.transform(ls, lambda x: F.when(table(x), "T").when(x.rlike(fixed.FOOTNOTE_LINE), "F").otherwise("x")), "")
-
-    def cut(p: Column, i: Column, label: Column) -> Column:
-        # a piece before another table ends in the newline that separates them
-        ls = F.split(F.when(i < F.size(pieces) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p), "\n", -1)
-        n = F.when(i > 0, F.length(F.regexp_extract(kinds(ls), "^T+F*", 0))).otherwise(F.lit(0))
-        body = F.when(n > 0, F.array_join(F.slice(ls, F.lit(1), n), "\n"))
-        rest = F.when(n < F.size(ls), F.array_join(F.slice(ls, n + 1, F.size(ls)), "\n")).otherwise("")
-        empty = (i == 0) & (p == "")
-        return F.struct(label.alias("section"), body.alias("table"), F.when(empty, F.lit(None)).otherwise(F.when(n < F.size(ls), rest)).alias("rest"))
-
-    labels = running_label(pieces)
-    return F.transform(pieces, lambda p, i: cut(p, i, F.get(labels, i)))
+def placeholder_sections(df: DataFrame, text: str, out: str = "placeholders") -> DataFrame:
+    """Adds an array of (table_index, section), one per placeholder."""
+    df = df.withColumns({"_pc": F.split(text, PLACEHOLDER, -1), "_ids": find_all(F.col(text), PLACEHOLDER, 1)})
+    df = running_label(df, "_pc", "_near")
+    # the label before piece i + 1 covers everything up to placeholder i
+    pair = F.zip_with("_ids", F.slice("_near", 2, F.size("_ids")), lambda n, s: F.struct(n.cast("int").alias("table_index"), s.alias("section")))
+    return df.withColumn(out, F.when(F.size("_ids") > 0, pair).otherwise(F.array().cast("array<struct<table_index:int,section:string>>"))).drop("_pc", "_ids", "_near")
+
+
+def table_chunks_in_text(df: DataFrame, text: str, out: str = "pieces") -> DataFrame:
+    """Adds an array of (section, table, rest): each pipe table with the footnote
+    lines right below it is one piece, ``rest`` the text that follows. The first
+    entry has no table and holds the text before the first one."""
+    kind = lambda x: F.when(x.rlike("(?d)" + fixed.TABLE_LINE), "T").when(x.rlike(fixed.FOOTNOTE_LINE), "F").otherwise("x")
+    df = df.withColumn("_ls", F.split(text, "\n", -1))
+    df = df.withColumn("_k", F.array_join(F.transform("_ls", kind), ""))  # one letter per line
+    at = lambda i: F.substring(F.col("_k"), i, F.lit(1))
+    begins = lambda i: (at(i + 1) == "T") & ((i == 0) | (at(i) != "T"))
+    df = df.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_ls") - 1), begins))
+    df = df.withColumn("_from", F.concat(F.array(F.lit(0)), F.col("_starts"))).withColumn("_to", F.concat(F.col("_starts"), F.array(F.size("_ls"))))
+    lines = lambda s, e: F.when(e > s, F.array_join(F.slice("_ls", s + 1, e - s), "\n"))
+    df = df.withColumn("_pieces", F.zip_with("_from", "_to", lambda s, e: F.coalesce(lines(s, e), F.lit(""))))
+    df = running_label(df, "_pieces", "_near")
+    df = df.withColumn("_n", F.transform(F.zip_with("_from", "_to", lambda s, e: F.substring(F.col("_k"), s + 1, e - s)),
+                                         lambda k, i: F.when(i > 0, F.length(F.regexp_extract(k, "^T+F*", 0))).otherwise(0)))
+    spans = F.zip_with(F.arrays_zip("_from", "_to", "_n"), F.col("_near"), lambda z, sec: F.struct(
+        sec.alias("section"), lines(z["_from"], z["_from"] + z["_n"]).alias("table"), lines(z["_from"] + z["_n"], z["_to"]).alias("rest")))
+    return df.withColumn(out, spans).drop("_ls", "_k", "_starts", "_from", "_to", "_pieces", "_near", "_n")
 
 
 # --- bounded text chunks -----------------------------------------------------
@@ -215,16 +216,15 @@ def chunk_corpus(docs: DataFrame, text: str = "text_content", tables: str | None
     from ..sources.derived import chunk_key
 
     keep = [c for c in docs.columns if c not in (text, tables, "section", "contains_table", "chunk_id")]
-    df = docs.withColumn("_pieces", table_chunks_in_text(F.col(text)))
-    own = F.transform(F.filter("_pieces", lambda p: p["table"].isNotNull()), lambda p: F.struct(p["section"].alias("section"), p["table"].alias("t")))
+    df = table_chunks_in_text(docs, text, "_parts")
+    own = F.transform(F.filter("_parts", lambda p: p["table"].isNotNull()), lambda p: F.struct(p["section"].alias("section"), p["table"].alias("t")))
     if tables:
-        sec = placeholder_sections(F.col(text))
-        label = lambda i: F.coalesce(F.get(F.transform(F.filter(sec, lambda s: s["table_index"] == i), lambda s: s["section"]), 0), F.lit(fixed.GENERAL))
-        parsed = F.transform(tables, lambda t, i: F.struct(label(i).alias("section"), t.alias("t")))
-        own = F.concat(parsed, own)
+        df = placeholder_sections(df, text, "_at")
+        label = lambda i: F.coalesce(F.get(F.filter("_at", lambda s: s["table_index"] == i), 0)["section"], F.lit(fixed.GENERAL))
+        own = F.concat(F.transform(tables, lambda t, i: F.struct(label(i).alias("section"), t.alias("t"))), own)
     tabs = df.select(*keep, F.posexplode(own).alias("chunk_index", "p")).select(
         *keep, "chunk_index", F.col("p.section").alias("section"), trim_ws(F.col("p.t")).alias("raw_text"), F.lit("table").alias("chunk_type")).where("raw_text <> ''")
-    remaining = F.array_join(F.filter(F.transform("_pieces", lambda p: p["rest"]), lambda r: r.isNotNull()), "\n")
+    remaining = F.array_join(F.filter(F.transform("_parts", lambda p: p["rest"]), lambda r: r.isNotNull()), "\n")
     secs = df.withColumn("_secs", split_sections(remaining)).withColumn("_texts", F.transform("_secs", lambda x: x["text"]))
     secs = bounded_chunks(secs, "_texts", "_chunks")
     flat = F.flatten(F.zip_with("_secs", "_chunks", lambda x, c: F.transform(c, lambda t: F.struct(x["section"].alias("section"), t.alias("t")))))
@@ -262,8 +262,7 @@ def resolve_table_placeholders(chunks: DataFrame, tables: DataFrame, per_table:
     new = F.when(kept > 0, F.concat(F.lit("\n[TABLE "), F.col("table_index").cast("string"), F.lit("]\n"), F.substring("table_text", F.lit(1), kept)))
     per = hit.select("chunk_id", "pos", F.coalesce(new, F.concat(F.lit("%%TABLE_"), F.col("table_index").cast("string"), F.lit("%%"))).alias("new"))
     per = per.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda s: s["new"]).alias("_new"))
-    pieces = F.split("raw_text", PLACEHOLDER, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit("")))), "")
+    joined = m.interleave(F.split("raw_text", PLACEHOLDER, -1), F.col("_new"))
     return chunks.join(per, "chunk_id", "left").withColumn("raw_text", F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("raw_text"))).drop("_new")
 
 

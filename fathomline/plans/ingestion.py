@@ -174,14 +174,14 @@ def split_sections(spark, sf):
 
 @query("assign_table_section", "SELECT doc_id, n AS table_index, CASE n WHEN 1 THEN 'Part II' ELSE 'Item 1A. Risk Factors' END AS section FROM documents, (SELECT unnest([0, 1]) AS n)")
 def assign_table_section(spark, sf):
-    p = mixed_text(spark, sf).select("doc_id", F.explode(g.placeholder_sections(F.col("body"))).alias("p"))
+    p = g.placeholder_sections(mixed_text(spark, sf), "body").select("doc_id", F.explode("placeholders").alias("p"))
     return p.select("doc_id", "p.table_index", "p.section")
 
 
 @query("extract_table_chunks", """SELECT doc_id, CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN 'Item 7. Discussion of results' WHEN 1 THEN 'Item 7. Discussion of results' ELSE 'Item 1A. Risk Factors' END AS section,
     CASE n WHEN 0 THEN '| a   | 1 |;| b | (2) |;(1) restated;[2] more' WHEN 1 THEN '| lone | row |' ELSE '| c | 3 |' END AS chunk FROM documents, (SELECT unnest([0, 1, 2]) AS n)""")
 def extract_table_chunks(spark, sf):
-    p = mixed_text(spark, sf).select("doc_id", F.posexplode(F.filter(g.table_chunks_in_text(F.col("body")), lambda x: x["table"].isNotNull())).alias("n", "p"))
+    p = g.table_chunks_in_text(mixed_text(spark, sf), "body").select("doc_id", F.posexplode(F.filter("pieces", lambda x: x["table"].isNotNull())).alias("n", "p"))
     return p.select("doc_id", "n", F.col("p.section").alias("section"), F.replace("p.table", F.lit("\n"), F.lit(";")).alias("chunk"))
 
 
