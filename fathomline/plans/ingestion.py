@@ -19,8 +19,11 @@ PATHS = ["data/AAPL/10-K/0000320193-24-000123/filing.html", "up/10-K/2023/msft_r
 
 
 def raw_filings(spark, sf):
+    return filing_columns(d.table(spark, sf, "pages"))
+
+
+def filing_columns(p):
     """Pages as SGML-wrapped filings with tables added."""
-    p = d.table(spark, sf, "pages")
     i = F.col("page_id")
     acc = lambda n: F.format_string(f"%010d-%02d-{n:06d}", i, 20 + i % 5)
     head = F.concat(

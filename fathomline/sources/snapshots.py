@@ -1,11 +1,14 @@
-"""A keyed store as versioned Parquet folders with a small pointer file.
+"""A keyed store as versioned, bucketed Parquet with a small numbered manifest.
 
-A change writes a complete new version, is checked, and only then becomes
-current by replacing the pointer; readers always see one whole version and a
-lost job leaves the old one current."""
+Rows live in hash buckets of ``bucket_by``. A change reads and rewrites only the
+buckets it touches, into a new version folder; after a check, the next manifest
+(bucket -> version) makes it current. Creating a manifest fails when another
+writer took the number, readers always see one whole manifest, and a lost job
+leaves the previous one current."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,57 +18,85 @@ from ..operators.stores import upsert
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], partition_by: list[str] | None = None):
-        self.spark, self.root, self.keys, self.partition_by = spark, root.rstrip("/"), keys, partition_by or []
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], bucket_by: list[str] | None = None, buckets: int = 32):
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
+        self.bucket_by = bucket_by or keys
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    @property
-    def _pointer(self) -> str:
-        return f"{self.root}/CURRENT"
+    # --- manifest (one entry per bucket, so its size is bounded) ---------------
+    def _number(self) -> int:
+        folder = self._path(f"{self.root}/manifest")
+        if not self._fs.exists(folder):
+            return 0
+        return max((int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder)), default=0)
+
+    def manifest(self) -> dict[str, str]:
+        """Bucket -> version folder of the current state."""
+        n = self._number()
+        return {} if n == 0 else json.loads(self.spark.read.text(f"{self.root}/manifest/{n}.json", wholetext=True).first()[0])
+
+    def _commit(self, number: int, manifest: dict[str, str]) -> None:
+        out = self._fs.create(self._path(f"{self.root}/manifest/{number + 1}.json"), False)
+        try:
+            out.write(bytearray(json.dumps(manifest).encode()))
+        finally:
+            out.close()
+
+    # --- rows ------------------------------------------------------------------
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int"))
+
+    def _paths(self, manifest: dict[str, str], only: set[str] | None = None) -> list[str]:
+        return [f"{self.root}/data/{v}/_bucket={b}" for b, v in manifest.items() if only is None or b in only]
 
-    def current(self) -> str | None:
-        if not self._fs.exists(self._path(self._pointer)):
-            return None
-        name = self.spark.read.text(self._pointer).first()[0]
-        return f"{self.root}/{name}"
+    def _load(self, manifest: dict[str, str], only: set[str] | None = None) -> DataFrame | None:
+        paths = self._paths(manifest, only)
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
-        path = self.current()
-        return None if path is None else self.spark.read.parquet(path)
-
-    def replace(self, df: DataFrame, expected_rows: int | None = None) -> int:
-        """Write a new version and make it current; returns its row count."""
-        name = f"v-{uuid.uuid4().hex}"
-        path = f"{self.root}/{name}"
-        w = df.write.mode("errorifexists")
-        (w.partitionBy(*self.partition_by) if self.partition_by else w).parquet(path)
-        written = self.spark.read.parquet(path)
-        n = written.count()
-        bad = written.groupBy(*self.keys).count().where("count > 1").limit(1).count()
-        if bad or (expected_rows is not None and n != expected_rows):
-            raise ValueError(f"version {name} refused: rows={n}, expected={expected_rows}, repeated keys={bool(bad)}")
-        tmp = f"{self.root}/.pointer-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(tmp)
-        if self._fs.exists(self._path(self._pointer)):
-            self._fs.rename(self._path(self._pointer), self._path(f"{self.root}/.old-{uuid.uuid4().hex}"))
-        self._fs.rename(self._path(tmp), self._path(self._pointer))
+        return self._load(self.manifest())
+
+    def _publish(self, df: DataFrame, number: int, base: dict[str, str], touched: set[str] | None) -> int:
+        version = f"v{uuid.uuid4().hex}"
+        path = f"{self.root}/data/{version}"
+        self._bucketed(df).write.partitionBy("_bucket").parquet(path)
+        kept = {} if touched is None else {b: v for b, v in base.items() if b not in touched}
+        here = {s.getPath().getName().split("=")[1] for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().startswith("_bucket=")}
+        n = 0
+        if here:
+            written = self.spark.read.parquet(path)
+            seen = written.groupBy(*self.keys).count().agg(F.sum("count"), F.max("count")).first()
+            n = seen[0]
+            if seen[1] > 1:
+                raise ValueError(f"version {version} refused: repeated keys")
+        self._commit(number, {**kept, **{b: version for b in here}})
         return n
 
+    def replace(self, df: DataFrame) -> int:
+        """Make ``df`` the whole content; returns its row count."""
+        return self._publish(df, self._number(), {}, None)
+
+    def _touched(self, df: DataFrame) -> set[str]:
+        """Buckets of the rows: at most ``buckets`` numbers."""
+        return {str(r[0]) for r in self._bucketed(df).select("_bucket").distinct().collect()}
+
     def upsert(self, incoming: DataFrame) -> int:
-        """Merge by key; returns the rows written or changed."""
-        now = self.read()
-        if now is None:
-            return self.replace(incoming)
-        merged = upsert(now, incoming, self.keys)
-        self.replace(merged.drop("_inserted", "_written"))
-        return incoming.select(*self.keys).distinct().count()
-
-    def delete(self, gone: DataFrame, on: list[str]) -> int:
-        now = self.read()
-        if now is None:
+        """Merge by key; returns the rows of the rewritten buckets."""
+        number, base = self._number(), self.manifest()
+        touched = self._touched(incoming)
+        if not touched:
             return 0
-        left = now.join(gone.select(*on).distinct(), on, "left_anti")
-        before = now.agg(F.count(F.lit(1))).first()[0]
-        return before - self.replace(left)
+        now = self._load(base, touched)
+        merged = incoming if now is None else upsert(now, incoming, self.keys).drop("_inserted", "_written")
+        return self._publish(merged, number, base, touched)
+
+    def delete(self, gone: DataFrame, on: list[str]) -> None:
+        """Remove rows that match on the given columns."""
+        number, base = self._number(), self.manifest()
+        known = set(self.bucket_by) <= set(gone.columns)
+        touched = (self._touched(gone) & set(base)) if known else set(base)
+        now = self._load(base, touched)
+        if now is not None:
+            self._publish(now.join(gone.select(*on).distinct(), on, "left_anti"), number, base, touched)
