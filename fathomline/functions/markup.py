@@ -115,8 +115,9 @@ def table_runs(lines: Column, flags: Column) -> Column:
 
 
 # --- cleaning ----------------------------------------------------------------
+# the lookaheads only skip positions where no alternative can start
 NOTATION = (
-    r"\([\d,.\s$€£%]+\)|[$€£¥]\s*[\d,.\s]+[MBKmbk]?|\(?[\d.,]+\s*%\)?|\b[\d,]+\.?\d*\s*[MBKmbk]\b"
+    r"(?=[($€£¥\d.,])(?:\([\d,.\s$€£%]+\)|[$€£¥]\s*[\d,.\s]+[MBKmbk]?|\(?[\d.,]+\s*%\)?|\b[\d,]+\.?\d*\s*[MBKmbk]\b)"
 )
 OPEN, CLOSE, RUN = "\ue000", "\ue001", "\ue002"  # private-use characters
 
@@ -139,6 +140,6 @@ def clean_plain(text: Column) -> Column:
     t = F.regexp_replace(text, r'(?i)style\s*=\s*"[^"]*"', "")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = replace_all(t, fixed.CLEAN_ENTITIES)
-    t = F.regexp_replace(t, "(?i)" + fixed.BOILERPLATE_PATTERN, "")
-    t = F.regexp_replace(t, r"(?U)[^\S\n|]+", " ")
+    t = F.regexp_replace(t, "(?i)(?=[FDASPEC])" + fixed.BOILERPLATE_PATTERN, "")
+    t = F.regexp_replace(t, r"(?U)(?=\s)[^\S\n|]+", " ")
     return trim_ws(F.regexp_replace(t, r"\n{3,}", "\n\n"))

@@ -38,8 +38,13 @@ def any_of(text: Column, words: Iterable[str]) -> Column:
     return text.rlike("|".join(re.escape(w).replace("/", "/") for w in words))
 
 
+# every character Python's str.strip() treats as white space
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Both ends without white space; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def strip_markers(text: Column, keep_newlines: bool = False) -> Column:

@@ -56,16 +56,24 @@ def scope_keys(ticker: Column, year: Column, section: Column) -> Column:
     return F.array(*shapes)
 
 
-def scoped(chunks: DataFrame, plans_with_scope: DataFrame) -> DataFrame:
-    """Chunks by the scopes in use: one row per (scope, chunk). Scopes are as
-    many as distinct filters; Spark broadcasts them while they are small."""
+def cell(df: DataFrame) -> Column:
+    """Key of the most specific filter a row satisfies; a scope is a union of
+    such disjoint cells."""
+    return _key([F.coalesce(F.col(p), F.lit("")) for p in PARTS])
+
+
+def cell_scopes(cells: DataFrame, plans_with_scope: DataFrame) -> DataFrame:
+    """(cell, scope) pairs in use. ``cells`` has one row per cell with PARTS;
+    both sides are as small as the distinct filter values."""
     used = plans_with_scope.select("scope").distinct()
-    keyed = chunks.withColumn("scope", F.explode(scope_keys(F.col("ticker"), F.col("fiscal_year"), F.col("section"))))
-    return keyed.join(used, "scope")
+    keys = scope_keys(*[F.col(p) for p in PARTS])
+    return cells.select("cell", F.explode(F.array_distinct(keys)).alias("scope")).join(used, "scope")
 
 
 def candidate_counts(chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """How many chunks each question's filter admits (pre-filter size)."""
+    """How many chunks each question's filter admits (pre-filter size). Chunks
+    are counted per cell before any join."""
     p = with_scope(plans)
-    per_scope = scoped(chunks.select("chunk_id", *PARTS), p).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    cells = chunks.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell(chunks))
+    per_scope = cell_scopes(cells, p).join(cells.select("cell", "n"), "cell").groupBy("scope").agg(F.sum("n").alias("n"))
     return p.join(per_scope, "scope", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("candidates"))

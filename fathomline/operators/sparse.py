@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import BM25_B, BM25_EPSILON, BM25_K1, CANDIDATE_K
 from ..functions.text import tokens
-from .scopes import PARTS, scoped, with_scope
+from .scopes import PARTS, cell, cell_scopes, with_scope
 
 
 def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,42 +29,45 @@ def query_terms(plans: DataFrame) -> DataFrame:
     )
 
 
-def index_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scope totals, document frequency and idf per scope and term).
-
-    ``docs`` has scope, chunk_id, tokens. A negative idf becomes
+def idf_of(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Document frequency and idf per (scope, term). A negative idf becomes
     epsilon x the mean idf over the scope's vocabulary."""
-    totals = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    df = (
-        docs.select("scope", F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    )
     raw = df.join(totals.select("scope", "n_docs"), "scope").withColumn(
         "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("scope").agg((F.avg("raw_idf") * BM25_EPSILON).alias("floor_idf"))
-    idf = raw.join(floor, "scope").select(
+    return raw.join(floor, "scope").select(
         "scope", "term", "df", F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return totals, idf
 
 
 def bm25_scores(chunks: DataFrame, plans: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) for every chunk sharing a term with the
-    question inside its scope. ``chunks``: chunk_id, raw_text and PARTS."""
+    question inside its scope. ``chunks``: chunk_id, raw_text and PARTS.
+
+    Chunks fall into disjoint cells and a scope is a union of cells, so terms
+    are counted once per chunk and per cell; only those counts, never the
+    tokens, are multiplied by the scopes a cell belongs to."""
     terms = query_terms(plans)
-    docs = scoped(chunks.select("chunk_id", *PARTS, tokens(F.col("raw_text")).alias("tokens")), terms).select("scope", "chunk_id", "tokens")
-    totals, idf = index_stats(docs)
-    weights = terms.join(idf, ["scope", "term"]).join(totals, "scope").select(
+    docs = chunks.select("chunk_id", *PARTS, cell(chunks).alias("cell"), tokens(F.col("raw_text")).alias("tokens"))
+    per_cell = docs.groupBy("cell", *PARTS).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("len"))
+    member = cell_scopes(per_cell, terms)
+    totals = member.join(per_cell, "cell").groupBy("scope").agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avg_len"))
+    cell_df = (
+        docs.select("cell", F.explode(F.array_distinct("tokens")).alias("term"))
+        .groupBy("cell", "term").agg(F.count(F.lit(1)).alias("df"))
+    )
+    df = cell_df.join(member, "cell").groupBy("scope", "term").agg(F.sum("df").alias("df"))
+    weights = terms.join(idf_of(df, totals), ["scope", "term"]).join(totals, "scope").select(
         "query_id", "scope", "term", "avg_len", (F.col("qtf") * F.col("idf")).alias("w"))
-    asked = terms.select("scope", "term").distinct()
+    asked = terms.select("term").distinct()
     tf = (
-        docs.select("scope", "chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-        .join(asked, ["scope", "term"], "left_semi")
-        .groupBy("scope", "chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        docs.select("cell", "chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+        .join(asked, "term", "left_semi")
+        .groupBy("cell", "chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     gain = F.col("w") * F.col("tf") * (BM25_K1 + 1) / (
         F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
     return (
-        tf.join(weights, ["scope", "term"])
+        tf.join(member, "cell").join(weights, ["scope", "term"])
         .groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
     )
 
@@ -82,7 +85,10 @@ def bm25_search(chunks: DataFrame, plans: DataFrame, k: int = CANDIDATE_K) -> Da
 
 def bm25_index(chunks: DataFrame) -> DataFrame:
     """Vocabulary of the whole corpus: term, df, total tf, idf."""
-    docs = chunks.select(F.lit("*").alias("scope"), "chunk_id", tokens(F.col("raw_text")).alias("tokens"))
-    _, idf = index_stats(docs)
-    cf = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    return idf.join(cf, "term").select("term", "df", "cf", "idf")
+    toks = chunks.select(tokens(F.col("raw_text")).alias("tokens"))
+    once = F.explode(F.concat(F.transform("tokens", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))),
+                              F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))).alias("x")
+    v = toks.select(once).groupBy(F.lit("*").alias("scope"), F.col("x.t").alias("term")).agg(
+        F.sum("x.d").alias("df"), F.count_if(F.col("x.d") == 0).alias("cf"))
+    totals = chunks.agg(F.count(F.lit(1)).alias("n_docs")).select(F.lit("*").alias("scope"), "n_docs")
+    return idf_of(v, totals).join(v.select("term", "cf"), "term").select("term", "df", "cf", "idf")

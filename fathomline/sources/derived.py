@@ -13,8 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "orders": "o_orderkey", "benchmark": "item_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when the files offer fewer splits than cores (one
+    small file, say), so that regex work is not left to one task. A corpus with
+    enough splits is left alone: nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def ticker_of(entity: Column) -> Column:
