@@ -92,7 +92,7 @@ def semantic_scores(questions: DataFrame, entries: DataFrame, scorer: Callable[[
     Namespaces are cut into blocks of bounded size; a cell multiplies one block
     of questions with one of entries and returns one row per question."""
     e, en = _blocks(entries.select("cache_ns", "cache_key", F.col("query").alias("cached"), F.col("embedding").alias("vec")), "cache_key")
-    q, qn = _blocks(questions.select("cache_ns", "query_id", "query", F.col("embedding").alias("vec")), "query_id")
+    q, qn = _blocks(questions.select("cache_ns", "query_id", F.col("query").alias("asked"), F.col("embedding").alias("asked_vec")), "query_id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     e = e.withColumnRenamed("own", "eb").join(qn, "cache_ns").select("*", spread("n").alias("qb")).drop("n")
     q = q.withColumnRenamed("own", "qb").join(en, "cache_ns").select("*", spread("n").alias("eb")).drop("n")
@@ -103,8 +103,8 @@ def semantic_scores(questions: DataFrame, entries: DataFrame, scorer: Callable[[
         if len(es) and len(qs):
             es = es.sort_values("cache_key", ignore_index=True)
             texts, keys = es["cached"].to_numpy(), es["cache_key"].to_numpy()
-            sims = np.stack(qs["vec"].to_numpy()).astype("float64") @ np.stack(es["vec"].to_numpy()).astype("float64").T
-            for i, (qid, text) in enumerate(zip(qs["query_id"], qs["query"])):
+            sims = np.stack(qs["asked_vec"].to_numpy()).astype("float64") @ np.stack(es["vec"].to_numpy()).astype("float64").T
+            for i, (qid, text) in enumerate(zip(qs["query_id"], qs["asked"])):
                 s = sims[i].round(9)
                 top = int(s.argmax())
                 second, key2 = None, None

@@ -165,14 +165,16 @@ def _grid_hits(v: DataFrame, p: DataFrame, k: int, cell_vectors: int = 200_000)
     qb, vb = max(1, -(-n_q // CELL_QUESTIONS)), max(1, -(-n_v // cell_vectors))
     cell = lambda own, other, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)
     left = v.withColumn("vblock", F.pmod(F.xxhash64("chunk_id"), F.lit(vb)).cast("int")).select("*", cell("vblock", "qblock", qb))
-    right = p.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int")).select("*", cell("qblock", "vblock", vb))
+    # names of its own: both sides may come from one table
+    named = p.select(F.col("query_id").alias("q_query_id"), *[F.col(c).alias(f"q_{c}") for c in (*PARTS, "embedding")])
+    right = named.withColumn("q_block", F.pmod(F.xxhash64("q_query_id"), F.lit(qb)).cast("int")).select("*", cell("q_block", "q_vblock", vb))
 
     def meet(vectors: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         if questions.empty or vectors.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return _score(_block(questions), vectors, k)
+        return _score(_block(questions.rename(columns=lambda c: c.removeprefix("q_"))), vectors, k)
 
-    return left.groupBy("qblock", "vblock").cogroup(right.groupBy("qblock", "vblock")).applyInPandas(meet, HITS)
+    return left.groupBy("qblock", "vblock").cogroup(right.groupBy("q_block", "q_vblock")).applyInPandas(meet, HITS)
 
 
 def max_per_chunk(hits: DataFrame, plan: str = "plan_id", k: int = CANDIDATE_K) -> DataFrame:
