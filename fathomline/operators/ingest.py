@@ -284,6 +284,6 @@ def orphan_tables(chunks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def table_size_stats(tables: DataFrame, cap: int = fixed.MAX_INLINE_TABLE_CHARS) -> DataFrame:
     """Count, least, median, largest length and how many exceed the cap."""
-    t = tables.select(F.lit("all").alias("scope"), F.length("raw_text").alias("n"))
-    stats = t.groupBy("scope").agg(F.count(F.lit(1)).alias("tables"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"), F.count_if(F.col("n") > cap).alias("over_cap"))
-    return stats.join(exact_percentiles(t, "n", {"median_chars": 0.5}, ["scope"]), "scope").drop("scope")
+    t = tables.select(F.length("raw_text").alias("n"))
+    median = exact_percentiles(t, "n", {"median_chars": 0.5}).scalar()
+    return t.agg(F.count(F.lit(1)).alias("tables"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"), F.count_if(F.col("n") > cap).alias("over_cap")).select("*", median.alias("median_chars"))

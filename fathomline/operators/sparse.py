@@ -88,7 +88,8 @@ def bm25_index(chunks: DataFrame) -> DataFrame:
     toks = chunks.select(tokens(F.col("raw_text")).alias("tokens"))
     once = F.explode(F.concat(F.transform("tokens", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))),
                               F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d"))))).alias("x")
-    v = toks.select(once).groupBy(F.lit("*").alias("scope"), F.col("x.t").alias("term")).agg(
-        F.sum("x.d").alias("df"), F.count_if(F.col("x.d") == 0).alias("cf"))
-    totals = chunks.agg(F.count(F.lit(1)).alias("n_docs")).select(F.lit("*").alias("scope"), "n_docs")
-    return idf_of(v, totals).join(v.select("term", "cf"), "term").select("term", "df", "cf", "idf")
+    v = toks.select(once).groupBy(F.col("x.t").alias("term")).agg(F.sum("x.d").alias("df"), F.count_if(F.col("x.d") == 0).alias("cf"))
+    n = chunks.agg(F.count(F.lit(1))).scalar()
+    raw = v.withColumn("raw_idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = raw.agg(F.avg("raw_idf") * BM25_EPSILON).scalar()
+    return raw.select("term", "df", "cf", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))

@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -7,6 +9,11 @@ from tests.conftest import SF
 from tests.oracle import check
 
 ORACLE = entry.oracle_sql()
+# compositions of operators that other names cover; all run with FULL_ORACLE=1
+LONG = {"rrf_fuse", "best_family_scores", "balanced_retrieval", "rerank_topn", "rerank_pair_plugin", "promote_rescued", "cylinder_order",
+        "prefilter_ablation", "rank_overlap", "knn_enriched", "replace_source_store", "stream_rate_windows_daily", "latency_percentiles_by_status",
+        "perf_summary_by_user", "cache_upsert", "cache_flush", "cache_live_entries", "extract_query_year", "html_tables_markdown"}
+NAMES = sorted(ORACLE if os.environ.get("FULL_ORACLE") else set(ORACLE) - LONG)
 
 
 def test_contract():
@@ -16,7 +23,7 @@ def test_contract():
     assert set(q) - set(ORACLE) == {"clean_financial_text", "chunk_text_bounded", "chunk_corpus", "stream_chunk_ingest"}
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     ok, message = check(spark, con, name, entry.queries()[name], ORACLE[name], SF)
     assert ok, message
