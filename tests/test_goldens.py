@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fathomline import fixed
 from fathomline.functions import metadata as meta
-from fathomline.functions.numbers import close_to, normalize_number
+from fathomline.functions.numbers import close_to, normalize_evidence, normalize_number
 from fathomline.operators import consistency, context, dense, evaluate, hybrid, ingest, questions, rerank, scopes, sparse, stores, verify
 
 
@@ -104,6 +104,10 @@ def test_close_to(spark):
     assert one(spark, close_to(F.lit(100.0), F.lit(100.49))) and not one(spark, close_to(F.lit(10.0), F.lit(10.13)))
 
 
+def test_normalize_evidence(spark):
+    assert one(spark, normalize_evidence(F.col("t")), t="Sales: $115,186 Million, up 31.96% (5 m)") == "sales: 115186 up 31.96 (5 )"
+
+
 STORE = "chunk_id string, ticker string, fiscal_year string, doc_type string, source_id string, seq long"
 
 
