@@ -15,6 +15,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, without building them."""
+    return F.regexp_count(F.lower(text), F.lit(TOKEN_PATTERN))
+
+
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import BM25_B, BM25_EPSILON, BM25_K1, CANDIDATE_K
-from ..functions.text import tokens
+from ..functions.text import token_count, tokens
 from .scopes import PARTS, cell, cell_scopes, with_scope
 
 
@@ -48,7 +48,8 @@ def bm25_scores(chunks: DataFrame, plans: DataFrame) -> DataFrame:
     tokens, are multiplied by the scopes a cell belongs to."""
     terms = query_terms(plans)
     docs = chunks.select("chunk_id", *PARTS, cell(chunks).alias("cell"), tokens(F.col("raw_text")).alias("tokens"))
-    per_cell = docs.groupBy("cell", *PARTS).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("len"))
+    sizes = chunks.select(*PARTS, cell(chunks).alias("cell"), token_count(F.col("raw_text")).alias("len"))
+    per_cell = sizes.groupBy("cell", *PARTS).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
     member = cell_scopes(per_cell, terms)
     totals = member.join(per_cell, "cell").groupBy("scope").agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avg_len"))
     cell_df = (
