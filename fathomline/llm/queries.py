@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, quality, sharding
+from . import bpe, chat, licenses, packing, quality, sharding, substrings
 from .registry import query
 
 
@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, encoded and packed into sequences of 2 048 tokens."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.packed(packing.pieces(coded, 2048), 2048)
+
+
 _CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -44,6 +57,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op4_fm_index_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word windows that an earlier document holds."""
+    left = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return left.select(F.col("c_doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_bpe_tree")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+
+
 @query("op6_feistel_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose counts differ by one at most."""
