@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, licenses, packing, quality, sharding, substrings
+from . import bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, substrings
 from .registry import query
 
 
@@ -76,6 +76,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24, seed=20)
 
 
+@query("op7_projection_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at cosine 0.9 and their components."""
+    return embeddings.near(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_grouped_prefix_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by five-word shingles, similarity 0.8."""

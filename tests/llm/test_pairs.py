@@ -7,7 +7,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from fathomline.llm import jaccard
+from fathomline.llm import embeddings, jaccard
 from fathomline.llm.components import components
 from tests.conftest import SF
 
@@ -90,3 +90,88 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 250)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 250: 200, 300: 200}
+
+
+# --- vectors
+
+def plain_near(rows):
+    """n_links and links of usable vectors, by id order of rows."""
+    import numpy as np
+
+    usable = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(c != 0 for c in v) for _, v in rows]
+    links = [set() for _ in rows]
+    for dim in {len(v) for (_, v), u in zip(rows, usable) if u}:
+        at = [k for k, ((_, v), u) in enumerate(zip(rows, usable)) if u and len(v) == dim]
+        x = embeddings.unit(np.array([rows[k][1] for k in at], dtype=np.float64))
+        for i, j in zip(*np.nonzero(x @ x.T >= 0.9)):
+            if i != j:
+                links[at[i]].add(at[j])
+    return links
+
+
+def plain_components(rows, links):
+    comp = [LAST if i is None else i for i, _ in rows]
+    moved = True
+    while moved:
+        moved = False
+        for k, ls in enumerate(links):
+            low = min([comp[k], *[comp[j] for j in ls]])
+            for j in (k, *ls):
+                if comp[j] > low:
+                    comp[j], moved = low, True
+    return comp
+
+
+def test_vectors_of_the_table(spark):
+    import numpy as np
+
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF.replace('0.001', '0.1')}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    rng = np.random.default_rng(8)  # the table has no neighbours of its own: near copies of every third vector, up to cosine 0.9 and a little below
+    rows += [(100_000 + 10 * i + k, (np.array(v) + rng.uniform(0.02, 0.06) * np.linalg.norm(v) * rng.standard_normal(len(v))).tolist()) for i, v in rows[::3] for k in range(1 + i % 4)]
+    links = plain_near(rows)
+    got = {r.vec_id: r for r in embeddings.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].n_links <= len(ls) for (i, _), ls in zip(rows, links))
+    assert sum(r.n_links for r in got.values()) >= 0.95 * sum(map(len, links)) > 0
+    for (i, _), c in zip(rows, plain_components(rows, links)):
+        assert got[i].kept == (got[i].component_id == i) and got[i].component_id >= c
+    assert sum(got[i].component_id == c for (i, _), c in zip(rows, plain_components(rows, links))) >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("most", [embeddings.LEAF_MOST, 40])
+def test_vector_edges(spark, monkeypatch, most):
+    import numpy as np
+
+    monkeypatch.setattr(embeddings, "LEAF", 60)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    rows = [(k, (centres[rng.integers(30)] + 0.05 * rng.standard_normal(16)).tolist()) for k in range(300)]
+    odd = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1e300] * 16, [1e-300] * 16, [1.0, 2.0], [2.0, 4.0], [-1.0, -2.0]]
+    rows += [(1000 + k, v) for k, v in enumerate(odd)] + [(None, rows[0][1]), (5, rows[5][1]), (2000, rows[7][1]), (2001, rows[7][1]), (1000, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, n int").repartition(3)
+    links = plain_near(rows)
+    comp = plain_components(rows, links)
+    want = sorted((LAST if i is None else i, len(ls), c, i == c) for (i, _), ls, c in zip(rows, links, comp))
+    got = sorted((LAST if r.vec_id is None else r.vec_id, r.n_links, LAST if r.component_id is None else r.component_id, r.kept) for r in embeddings.near(df).collect())
+    assert len(got) == len(want)
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+    assert [g for g in got if 1000 <= g[0] < LAST] == [w for w in want if 1000 <= w[0] < LAST]
+    assert embeddings.near(df.where("false")).count() == 0
+
+
+def test_leaf_counts_each_pair_once():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = embeddings.unit(np.repeat(rng.standard_normal((5, 8)), 30, axis=0) + 0.02 * rng.standard_normal((150, 8)))
+    ident = rng.permutation(150).astype(np.int64)
+    parts = [np.arange(0, 100), np.arange(60, 150)]
+    total, earlier = np.zeros(150, np.int64), np.zeros((150, 1), np.float32)
+    for k, p in enumerate(parts):
+        count, least = embeddings.leaf_links(ident[p], x[p], np.ones(len(p), np.int64), earlier[p] if k else earlier[p][:, :0], 0.9)
+        total[p] += count
+        earlier[p, 0] = 1
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    near[:60, 100:] = near[100:, :60] = False
+    assert (total == near.sum(1)).all()
