@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, substrings
+from . import archives, bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, substrings
 from .registry import query
 
 
@@ -57,7 +57,56 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op4_fm_index_repeats")
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) // CAST(power(32, 3 - i % 4) AS BIGINT)) % 32 AS INT), 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN l USING (h)
+"""
+
+
+@query("op3_zip_archives", _WARC_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back from these."""
+    packages = archives.write_packages(table(spark, sf_dir, "pages"))
+    return archives.pages_of(archives.read_records(packages))
+
+
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_REPEATS_SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS v FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+o AS (SELECT v, min(doc_id) AS first FROM g GROUP BY v),
+hit AS (SELECT doc_id, list(i) AS starts FROM g JOIN o USING (v) WHERE first < doc_id GROUP BY doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten([range(i, i + 13) for i in starts])) AS places FROM hit),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+lost AS (SELECT doc_id, unnest(places) AS p FROM gone),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_CLASSES_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS v FROM s),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c
+           FROM e x JOIN e y ON x.v = y.v AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (m + n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM edge UNION SELECT r.doc_id, edge.b FROM reach r JOIN edge ON edge.a = r.other),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(other, s.doc_id)) AS component_id
+FROM s LEFT JOIN least USING (doc_id)
+"""
+
+
+@query("op4_fm_index_repeats", _REPEATS_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 13-word windows that an earlier document holds."""
     left = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
@@ -82,7 +131,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near(table(spark, sf_dir, "embeddings"))
 
 
-@query("op8_grouped_prefix_join")
+@query("op8_grouped_prefix_join", _CLASSES_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of all documents by five-word shingles, similarity 0.8."""
     return jaccard.classes(table(spark, sf_dir, "documents"))
