@@ -47,9 +47,14 @@ def plain(fragment: Column) -> Column:
 
 
 def table_cells(table: Column) -> Column:
-    """Rows of cell texts."""
+    """Rows of cell texts; a cell over several columns stands in each of them."""
     rows = find_all(table, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
-    return F.transform(rows, lambda r: F.transform(find_all(r, r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>", 1), lambda c: plain(c)))
+
+    def texts(cell: Column) -> Column:
+        span = F.regexp_extract(cell, r"(?is)^<t[dh]\b[^>]*\bcolspan\s*=\s*[\"']?\s*(\d{1,4})", 1).try_cast("int")
+        return F.array_repeat(plain(F.regexp_extract(cell, r"(?is)^<t[dh]\b[^>]*>(.*?)</t[dh]\s*>$", 1)), F.greatest(F.coalesce(span, F.lit(1)), F.lit(1)))
+
+    return F.transform(rows, lambda r: F.flatten(F.transform(find_all(r, r"(?is)<t[dh]\b[^>]*>.*?</t[dh]\s*>"), texts)))
 
 
 def body_rows(cells: Column) -> Column:
@@ -59,13 +64,13 @@ def body_rows(cells: Column) -> Column:
 
 
 def markdown(cells: Column) -> Column:
-    """Pipe table: header row, alignment row, filled rows; '' when there are none.
-    Empty cells read nan, empty headers 'Unnamed: i'."""
+    """Pipe table as wide as its widest row: header row, alignment row, filled rows;
+    '' when there are none. Empty cells read nan, empty headers 'Unnamed: i'."""
     head = F.get(cells, 0)
-    width = F.size(head)
+    width = F.when(F.size(head) > 0, F.array_max(F.transform(cells, lambda r: F.size(r)))).otherwise(0)
     line = lambda cs: F.concat(F.lit("| "), F.array_join(cs, " | "), F.lit(" |"))
     fill = lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.nullif(F.get(r, i), F.lit("")), F.lit("nan")))
-    names = F.transform(head, lambda h, i: F.when(h == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(h))
+    names = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.nullif(F.get(head, i), F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(":---|"), width))
     rows = F.transform(body_rows(cells), lambda r: line(fill(r)))
     text = F.concat_ws("\n", line(names), rule, F.array_join(rows, "\n"))

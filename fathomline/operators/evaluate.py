@@ -30,11 +30,12 @@ def average_precision(ranks: Column, context_count: Column) -> Column:
 
 
 def context_precision(relevant: DataFrame, sample: str, rank: str, context_count: str) -> DataFrame:
-    """The same from one row per relevant rank. Distinct ranks are at most the
-    context count, so the per-sample window stays small."""
-    r = relevant.where((F.col(rank) >= 1) & (F.col(rank) <= F.col(context_count))).select(sample, F.col(rank).alias("_r")).distinct()
-    nth = F.row_number().over(Window.partitionBy(sample).orderBy("_r"))
-    return r.select(sample, (nth / F.col("_r")).alias("_p")).groupBy(sample).agg(F.avg("_p").alias("score"))
+    """The same from one row per relevant rank; a sample without one has a row with a
+    null rank. Distinct ranks are at most the context count, so the per-sample window stays small."""
+    valid = (F.col(rank) >= 1) & (F.col(rank) <= F.col(context_count))
+    r = relevant.select(sample, F.when(valid, F.col(rank)).alias("_r")).distinct()
+    nth = F.row_number().over(Window.partitionBy(sample).orderBy(F.col("_r").asc_nulls_last()))
+    return r.select(sample, (nth / F.col("_r")).alias("_p")).groupBy(sample).agg(F.coalesce(F.avg("_p"), F.lit(0.0)).alias("score"))
 
 
 def clamp_score(v: Column) -> Column:

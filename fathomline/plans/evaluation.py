@@ -24,10 +24,12 @@ def eval_context_recall(spark, sf):
     return out.select("sample", F.round("score", 6).alias("score"))
 
 
-@query("eval_context_precision", """SELECT sample, round(avg(nth / k), 6) AS score FROM (SELECT sample, k, row_number() OVER (PARTITION BY sample ORDER BY k) AS nth
-    FROM (SELECT DISTINCT l_orderkey AS sample, l_linenumber AS k FROM lineitem WHERE l_quantity < 25 AND l_linenumber BETWEEN 1 AND 5)) GROUP BY sample""")
+@query("eval_context_precision", """SELECT s.sample, round(coalesce(avg(nth / k), 0), 6) AS score FROM (SELECT DISTINCT l_orderkey AS sample FROM lineitem) s
+    LEFT JOIN (SELECT sample, k, row_number() OVER (PARTITION BY sample ORDER BY k) AS nth
+    FROM (SELECT DISTINCT l_orderkey AS sample, l_linenumber AS k FROM lineitem WHERE l_quantity < 25 AND l_linenumber BETWEEN 1 AND 5)) r ON r.sample = s.sample GROUP BY s.sample""")
 def eval_context_precision(spark, sf):
-    rows = d.table(spark, sf, "lineitem").where("l_quantity < 25").select(F.col("l_orderkey").alias("sample"), "l_linenumber", F.lit(5).alias("contexts"))
+    relevant = F.when(F.col("l_quantity") < 25, F.col("l_linenumber"))
+    rows = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sample"), relevant.alias("l_linenumber"), F.lit(5).alias("contexts"))
     return e.context_precision(rows, "sample", "l_linenumber", "contexts").select("sample", F.round("score", 6).alias("score"))
 
 

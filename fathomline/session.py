@@ -29,9 +29,12 @@ def local_session(cores: str | int = "*", app: str = "fathomline") -> SparkSessi
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (the folder all executors
-    share). Only when the session names none, as in tests, a temporary one."""
+    share). A session that names none gets a temporary one if its master is local, as
+    in tests; on a cluster that is an error, since each executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     import uuid

@@ -218,3 +218,16 @@ def test_embedder_failure_switches_dense_side_off(spark):
 
 def test_fixed_values_are_consistent():
     assert set(fixed.COMPANY_LEGAL) == set(fixed.SUPPORTED_TICKERS)
+
+
+def test_tables_keep_figures_beyond_the_header(spark):
+    page = ('<table><tr><th>Item</th><th colspan="2">2024</th></tr><tr><td>Revenue</td><td>$</td><td>391,035</td><td>12</td></tr>'
+            "<tr><td>Net</td><td colspan=2>(5)</td></tr></table>")
+    parsed = ingest.parse_filings(spark.createDataFrame([(page,)], "content string")).first()
+    assert parsed.tables == ["| Item | 2024 | 2024 | Unnamed: 3 |\n|:---|:---|:---|:---|\n| Revenue | $ | 391,035 | 12 |\n| Net | (5) | (5) | nan |"]
+
+
+def test_samples_without_relevant_contexts_score_zero(spark):
+    rows = spark.createDataFrame([("a", 1, 3), ("a", 3, 3), ("b", 9, 3), ("c", None, 3), ("d", 2, 3), ("d", 9, 3)], "sample string, rank int, n int")
+    got = {r.sample: round(r.score, 6) for r in evaluate.context_precision(rows, "sample", "rank", "n").collect()}
+    assert got == {"a": round((1 + 2 / 3) / 2, 6), "b": 0, "c": 0, "d": 0.5}
