@@ -8,11 +8,12 @@ holds an anchor's segments holds every place of their windows, and each window i
 searched in one shard only.
 
 1. Anchors that stand in one document only are dropped.
-2. Equal segments of different documents are collapsed to one with the least id.
-3. A shard's segments are sorted to a Burrows-Wheeler transform in a wavelet
-   matrix; segments are streamed against it by backward search, window by window,
-   until a match is unique or as long as the threshold. The least id in a window's
-   range is its owner.
+2. Equal segments of different documents are collapsed to one with the least id. Where
+   an anchor has no other segment, that id owns its windows.
+3. Of the other anchors the words are fetched, once for each segment. A shard's
+   segments are sorted to a Burrows-Wheeler transform in a wavelet matrix; segments
+   are streamed against it by backward search, window by window, until a match is
+   unique or as long as the threshold. The least id in a window's range is its owner.
 4. Owners go back to the documents that hold the segments, which drop the words
    covered by windows with a smaller owner.
 
@@ -182,57 +183,53 @@ def owners(texts: pa.Array, least: np.ndarray, window: int) -> tuple[np.ndarray,
     return owner, first
 
 
-def _anchors(window: int):
+def _places(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             s = Segments(b.column("text"), window)
             ids = b.column("id").to_numpy(zero_copy_only=False)[s.doc]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.anchor)], ["id", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s.anchor), pa.array(s.hash)], ["id", "anchor", "hash"])
 
     return run
 
 
-def _segments(window: int, with_words: bool):
-    """Segments whose anchor is in the row's ``anchors``."""
+def _segments(window: int):
+    """Words of the segments whose hash is in the row's ``hashes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             s = Segments(b.column("text"), window)
-            lists = b.column("anchors")
-            values = lists.flatten().to_numpy(zero_copy_only=False)
+            lists = b.column("hashes")
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            wanted = np.zeros(len(values), dtype=[("d", np.int64), ("a", np.int64)])
-            wanted["d"], wanted["a"] = owner, values
-            own = np.zeros(len(s.anchor), dtype=wanted.dtype)
-            own["d"], own["a"] = s.doc, s.anchor
-            at = np.flatnonzero(np.isin(_pair(own), _pair(wanted)))
+            wanted = _pair(owner, lists.flatten().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(np.isin(_pair(s.doc, s.hash), wanted))
             ids = b.column("id").to_numpy(zero_copy_only=False)[s.doc[at]]
-            arrays = [pa.array(ids), pa.array(s.anchor[at]), pa.array(s.hash[at])]
-            if with_words:
-                data, w, sep = s.words.data.tobytes(), s.words, b" "
-                begin, end = w.first[s.first[at]], w.last[s.first[at] + s.count[at] + window - 2]
-                arrays.append(pa.array([sep.join(data[i:j].split()) for i, j in zip(begin.tolist(), end.tolist())], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "anchor", "hash", "words"][:len(arrays)])
+            data, w = s.words.data.tobytes(), s.words
+            begin, end = w.first[s.first[at]], w.last[s.first[at] + s.count[at] + window - 2]
+            words = [b" ".join(data[i:j].split()) for i, j in zip(begin.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(s.anchor[at]), pa.array(s.hash[at]), pa.array(ids), pa.array(words, pa.binary())], ["anchor", "hash", "least", "words"])
 
     return run
 
 
-def _pair(x: np.ndarray) -> np.ndarray:
-    """One value for (row, anchor); rows of a batch are few, so nothing is lost that matters."""
-    return mix(x["a"].view(np.uint64) + x["d"].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+def _pair(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """One value for a row of a batch and a hash; one too many found costs nothing but its words."""
+    return mix(value.view(np.uint64) + doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def _owned(window: int):
-    """Owners of the windows of a shard's segments, which arrive in order of their anchors."""
+    """Owners of the windows of a shard's segments, which arrive in order of their
+    anchors; segments that own all of theirs are left out."""
 
     def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         least = t.column("least").to_numpy()
         owner, first = owners(t.column("words").combine_chunks().cast(pa.string()), least, window)
-        smaller = np.minimum.reduceat(owner, first[:-1]) < least
+        smaller = np.flatnonzero(np.minimum.reduceat(owner, first[:-1]) < least)
         raw = owner.astype("<i8").tobytes()
-        cut = [raw[8 * i:8 * j] if s else None for i, j, s in zip(first[:-1].tolist(), first[1:].tolist(), smaller.tolist())]
-        return pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("hash").combine_chunks(), t.column("least").combine_chunks(), pa.array(cut, pa.binary())], ["anchor", "hash", "least", "owners"])
+        cut = [raw[8 * i:8 * j] for i, j in zip(first[smaller].tolist(), first[smaller + 1].tolist())]
+        own = t.select(["anchor", "hash"]).take(pa.array(smaller)).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(own.column(0).to_numpy()), pa.array(own.column(1).to_numpy()), pa.array(cut, pa.binary())], ["anchor", "hash", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -313,18 +310,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """All columns of ``docs`` under ``c_`` names, n_words, n_removed, kept (the words
     left, joined by blanks) and removed (word spans)."""
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c != text])
-    ids = rows.select("id", "text").mapInArrow(_anchors(window), "id long, anchor long")
-    shared = ids.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    chosen = written(ids.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    everywhere = rows.select("id", "text").mapInArrow(_places(window), "id long, anchor long, hash long")
+    shared = everywhere.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    places = written(everywhere.join(shared, "anchor").select("id", "anchor", "hash"), "places")
+    least = places.groupBy("anchor", "hash").agg(F.min("id").alias("least"))
+    several = least.groupBy("anchor").count().where("count > 1").select("anchor")
+    wanted = least.join(several, "anchor").groupBy(F.col("least").alias("id")).agg(F.collect_list("hash").alias("hashes"))
     # one deal by id, with all columns each time, serves the segments and, at the end, the documents
     dealt = rows.repartition("id")
-    some = dealt.join(chosen, "id")
-    segments = some.mapInArrow(_segments(window, True), "id long, anchor long, hash long, words binary")
-    distinct = segments.groupBy("anchor", "hash", "words").agg(F.min("id").alias("least"))
-    shards = distinct.repartition("anchor").sortWithinPartitions("anchor")
-    found = shards.mapInArrow(_owned(window), "anchor long, hash long, least long, owners binary")
-    places = some.mapInArrow(_segments(window, False), "id long, anchor long, hash long")
-    hits = places.join(found, ["anchor", "hash"]).where("least < id OR owners IS NOT NULL").select("id", "hash", "least", "owners").mapInArrow(_flags, "id long, hash long, marks binary")
+    segments = dealt.join(wanted, "id").mapInArrow(_segments(window), "anchor long, hash long, least long, words binary")
+    shards = segments.repartition("anchor").sortWithinPartitions("anchor")
+    found = shards.mapInArrow(_owned(window), "anchor long, hash long, owners binary").groupBy("anchor", "hash").agg(F.max("owners").alias("owners"))
+    told = least.join(found, ["anchor", "hash"], "left")
+    hits = places.join(told, ["anchor", "hash"]).where("least < id OR owners IS NOT NULL").select("id", "hash", "least", "owners").mapInArrow(_flags, "id long, hash long, marks binary")
     by_id = hits.groupBy("id").agg(F.collect_list(F.struct("hash", "marks")).alias("hits"))
     names = [f"c_{c}" for c in docs.columns if c != text]
     kinds = dict(rows.dtypes)
