@@ -21,7 +21,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +45,11 @@ BLANKS = re.compile("[ \n]")
 #: a word of Latin letters, then marks that cannot begin a contraction
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
+#: how the tokenizer's byte level writes the two UTF-8 bytes of those letters
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(0x100) if b not in _PRINTED]
+BYTE_SIGNS = {c: "".join(chr(b if b in _PRINTED else 0x100 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends
 
 
@@ -110,56 +116,55 @@ def tree(tok, text: str, leaf: int = UNSPLIT_CHARS, at: int = 0) -> Tokens:
     return ids, starts + at, ends + at
 
 
+class Memory(dict):
+    """Values by key, made when they are missing; the latest ``most`` to twice as many are kept."""
+
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts, word by word, with a bounded memory of words seen lately."""
+    """Ids of texts, word by word, with a bounded memory of words seen lately.
+
+    A simple word is its letters, in lower case, and its marks; letters go to the
+    library's BPE model as they are, everything else through the whole tokenizer."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tok = tokenizer(path)
-        self.most = remembered
-        self.words: list[dict[str, bytes]] = [{}, {}]
-        self.parts: list[dict[str, bytes]] = [{}, {}]
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        short = [p for p in pieces if len(p) <= UNSPLIT_CHARS]
-        done = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False))} if short else {}
-        return [done[p] if p in done else tree(self.tok, p)[0].astype("<u4").tobytes() for p in pieces]
-
-    def _known(self, memory: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
-        """The bytes of all ``keys``; unknown ones are made together and remembered."""
-        if len(memory[0]) > self.most:
-            memory[:] = [{}, memory[0]]
-        new, old = memory
-        out, missing = {}, []
-        for k in keys:
-            v = new.get(k)
-            if v is None:
-                v = old.get(k)
-            if v is None:
-                missing.append(k)
-            else:
-                out[k] = v
-        for i in range(0, len(missing), self.most):
-            some = missing[i:i + self.most]
-            for k, v in zip(some, make(some)):
-                out[k] = v
-                if len(new) <= self.most:
-                    new[k] = v
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """A simple word's ids are those of its letters, in lower case, and its marks."""
-        cut = [m.groups() if (m := SIMPLE.fullmatch(w)) else None for w in words]
-        wanted = {p for c in cut if c for p in (c[0].lower(), c[1]) if p} | {w for w, c in zip(words, cut) if not c}
-        known = self._known(self.parts, wanted, self._encode)
-        known[""] = b""
-        return [known[c[0].lower()] + known[c[1]] if c else known[w] for w, c in zip(words, cut)]
+        self.model = self.tok.model
+        self.words = Memory(remembered, self._word)
+        self.letters, self.marks = Memory(2 * remembered, self._letters), Memory(remembered, self._whole)
+
+    def _letters(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text.translate(BYTE_SIGNS))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        if len(text) > UNSPLIT_CHARS:
+            return tree(self.tok, text)[0].astype("<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        m = SIMPLE.fullmatch(word)
+        if m is None or len(word) > UNSPLIT_CHARS:
+            return self._whole(word)
+        letters, marks = m.groups()
+        ids = self.letters[letters.lower()]
+        return ids + self.marks[marks] if marks else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._known(self.words, {w for s in split for w in s if w}, self._words)
-        known[""] = b""
-        return [b"".join([known[w] for w in s]) for s in split]
+        return [b"".join(map(self.words.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=4)

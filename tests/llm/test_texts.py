@@ -73,7 +73,16 @@ def test_memory_of_words_is_bounded():
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [reference(t) for t in texts]
     for t in texts:
         e.encode([t])
-    assert all(len(d) <= 51 for m in (e.words, e.parts) for d in m)
+    assert len(e.words) <= 50 >= len(e.words.older) and len(e.letters) <= 100 >= len(e.letters.older)
+
+
+def test_letters_and_marks_of_simple_words():
+    tok, rng = bpe.tokenizer(PATH), random.Random(9)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + "".join(rng.choices(marks, k=rng.randint(0, 3))) for _ in range(4000)]
+    assert all(bpe.SIMPLE.fullmatch(w) for w in words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(PATH).encode(words)] == [reference(w) for w in words]
 
 
 # --- packing
