@@ -2,17 +2,20 @@
 
 A document is the set of its distinct runs of five words; two link when their sets
 share 80 % of their union. In one fixed order of all shingles, linked documents
-share a shingle among their first ``n - ceil(0.8 n) + 1``. Shingles of many
-documents stand last in that order, so that passages which documents share do not
-bring them together; the rest is ordered by hash.
+share a shingle among their first ``n - ceil(0.8 n) + 1``, and with a prefix longer
+by ``e`` they share ``1 + e`` of it. Shingles of many documents stand last in that
+order, the rest is ordered by hash; and of the longer prefix each document drops as
+many shingles as it can spare, those that most documents hold. So passages which
+documents share do not bring them together.
 
 1. A pass counts shingles inside tasks and names the frequent ones (at least
    ``OFTEN`` of the documents; so many at most that the list stays small).
 2. Documents with the same set collapse to one representative, representatives
-   with identical prefix and size to one group. Shingles of one document leave.
-3. Groups of a shingle are compared to its pivot, the group that shares most; size
-   bounds filter group pairs, which expand to members and are verified by their
-   sets. Links give components.
+   with identical prefix and size to one group. Shingles of one group leave, and of
+   the others those that their groups can spare.
+3. A shingle's pivot is the group that shares most of its prefix. Every group is
+   paired with the pivot that it meets most often; size bounds filter group pairs,
+   which expand to members and are verified by their sets. Links give components.
 4. Where a shingle or a group still joins several components, all pairs across
    components are verified too. No pair inside a component needs to be looked at.
 
@@ -46,6 +49,8 @@ OFTEN = 0.0005
 #: shingles that a task counts at once; those seen three times among so many are reported
 COUNTED = 4_000_000
 STAR = 256
+#: part of a set by which its prefix is longer than needed, in hundredths
+LONGER = 5
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -119,12 +124,16 @@ def _profiles(often: np.ndarray):
             order = np.lexsort((value, place, doc))
             value, place = value[order], place[order]
             rank = np.arange(len(value)) - np.repeat(begin[:-1], n)
-            length = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+            length = np.where(n > 0, np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + LONGER * n // 100), 0)
             inside = rank < np.repeat(length, n)
             first = np.concatenate([[0], np.cumsum(length)])
             prefix, heavy = value[inside], place[inside] > 0
             cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(prefix))])
             group = mix(cum[first[1:]] - cum[first[:-1]] + mix(n.astype(np.uint64))).view(np.int64)
+            # where the prefix ends in the order of all shingles
+            at = np.maximum(first[1:] - 1, 0)
+            ranks = np.where(place > 0, (1 << 62) + place, (value >> _U(2)).astype(np.int64))[inside]
+            end = np.where(length > 0, ranks[at], 0) if len(ranks) else np.zeros(len(n), np.int64)
             _, once = np.unique(np.stack([key, key2]), axis=1, return_index=True)
             shown = np.zeros(len(n), dtype=bool)
             shown[once] = True
@@ -133,7 +142,7 @@ def _profiles(often: np.ndarray):
                 own = keep & np.repeat(shown, length)
                 sizes = np.add.reduceat(np.append(own, 0), first[:-1]) * (length > 0) if len(length) else length
                 lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(prefix[own].view(np.int64))))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(group), *lists], ["id", "n", "key", "key2", "group_key", "light", "heavy"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(group), pa.array(end), *lists], ["id", "n", "key", "key2", "group_key", "end", "light", "heavy"])
 
     return run
 
@@ -203,8 +212,33 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return stars.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").drop("member").mapInArrow(_verified, "a long, b long")
 
 
-def _fits(x: Column, y: Column) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+def _prefix(n: Column) -> Column:
+    return F.least(n, n - F.ceil(n * PERCENT / 100) + 1 + F.floor(n * LONGER / 100))
+
+
+def _spare(n: Column) -> Column:
+    """How many of its shared shingles a document can drop: partners have at least PERCENT of its size."""
+    return F.floor(F.ceil(n * PERCENT / 100) * LONGER / 100)
+
+
+def _earlier(x: Column, y: Column) -> Column:
+    """The value of the side whose prefix ends first; the larger where both end alike."""
+    return F.when(F.col("end") < F.col("end_m"), x).when(F.col("end") > F.col("end_m"), y).otherwise(F.greatest(x, y))
+
+
+def _fits() -> Column:
+    """Sizes that can link, and enough left to share: all of the prefix that ends first
+    would stand in the other prefix."""
+    n, m = F.col("n"), F.col("m")
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (_earlier(F.col("most"), F.col("most_m")) * (100 + PERCENT) >= (n + m) * PERCENT)
+
+
+def _enough(common: Column) -> Column:
+    """Whether ``common`` shingles of both kept prefixes allow a link: all others that
+    two documents share lie behind the prefix that ends first or were dropped."""
+    n, m = F.col("n"), F.col("m")
+    behind = _earlier(n - _prefix(n), m - _prefix(m)) + F.greatest(_spare(n), _spare(m))
+    return (common + behind) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -214,25 +248,30 @@ def _ordered(a: str, b: str) -> list[Column]:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id (the least id reachable by links) of every row."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
-    profiles = rows.mapInArrow(_profiles(frequent(rows)), "id long, n long, key long, key2 long, group_key long, light array<long>, heavy array<long>")
-    sets = profiles.select("id", "n", "key", "key2", "group_key")
+    profiles = rows.mapInArrow(_profiles(frequent(rows)), "id long, n long, key long, key2 long, group_key long, end long, light array<long>, heavy array<long>")
+    sets = profiles.select("id", "n", "key", "key2", "group_key", "end")
     rep = sets.groupBy("key", "key2", "n").agg(F.min("id").alias("rep"))
-    known = written(sets.join(rep, ["key", "key2", "n"]).select("id", "n", "rep", "group_key"), "sets")
-    groups = known.where("n > 0").groupBy("group_key", "n").agg(F.min("rep").alias("gid"))
-    members = written(known.where("n > 0").select("group_key", "n", "rep").distinct().join(groups, ["group_key", "n"]).select("gid", "rep", "n"), "members")
+    known = written(sets.join(rep, ["key", "key2", "n"]).select("id", "n", "rep", "group_key", "end"), "sets")
+    groups = known.where("n > 0").groupBy("group_key", "n", "end").agg(F.min("rep").alias("gid"))
+    members = written(known.where("n > 0").select("group_key", "n", "end", "rep").distinct().join(groups, ["group_key", "n", "end"]).select("gid", "rep", "n", "end"), "members")
 
     tokens = profiles.select("id", F.explode("light").alias("token")).repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long")
     tokens = tokens.unionByName(profiles.select(F.explode("heavy").alias("token"), "id"))
-    ids = known.where("n > 0").select("id", "rep", "n").join(members, ["rep", "n"]).select("id", "gid", "n").distinct()
-    shared = tokens.join(ids, "id").select("token", "gid", "n").distinct()
-    ends = Window.partitionBy("token")
-    buckets = written(shared.withColumn("x", F.min("gid").over(ends)).withColumn("y", F.max("gid").over(ends)).where("x < y").select("token", "gid", "n"), "buckets")
-
-    # groups of one shingle against its pivot, members of one group against its least
-    weight = buckets.groupBy("gid").agg((F.count("*") / F.max("n")).alias("weight"))
-    best = buckets.join(weight, "gid").groupBy("token").agg(F.max(F.struct("weight", (-F.col("gid")).alias("minus"), "n")).alias("best"))
-    near = buckets.join(best.select("token", (-F.col("best.minus")).alias("pivot"), F.col("best.n").alias("m")), "token")
-    group_pairs = near.where((F.col("gid") != F.col("pivot")) & _fits(F.col("n"), F.col("m"))).select(*_ordered("gid", "pivot")).distinct()
+    ids = known.where("n > 0").select("id", "rep", "n", "end").join(members, ["rep", "n", "end"]).select("id", "gid", "n", "end").distinct()
+    shared = tokens.join(ids, "id").select("token", "gid", "n", "end").distinct()
+    held = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("gid", "n", "end")
+    ranked = shared.join(held, "token").withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), F.desc("token")))).withColumn("met", F.count("*").over(own))
+    # without the shingles of the prefix that no other prefix has: the most that a partner whose prefix ends later can share
+    most = F.col("n") - F.greatest(_prefix(F.col("n")) - F.col("met"), F.lit(0))
+    kept = ranked.where(F.col("rank") > _spare(F.col("n"))).select("token", "gid", "n", "end", most.alias("most"), (F.col("met") / F.col("n")).alias("weight"))
+    buckets = written(kept, "buckets")
+
+    # groups against the pivot that they meet most often, members of one group against its least
+    best = buckets.groupBy("token").agg(F.max(F.struct("weight", (-F.col("gid")).alias("minus"), "n", "end", "most")).alias("best"))
+    near = buckets.join(best.select("token", (-F.col("best.minus")).alias("pivot"), F.col("best.n").alias("m"), F.col("best.end").alias("end_m"), F.col("best.most").alias("most_m")), "token")
+    met = near.where((F.col("gid") != F.col("pivot")) & _fits()).groupBy("gid", "pivot").count()
+    group_pairs = met.groupBy("gid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(*_ordered("gid", "pivot")).distinct()
     first, second = members.select(F.col("gid").alias("a"), F.col("rep").alias("ra")), members.select(F.col("gid").alias("b"), F.col("rep").alias("rb"))
     pairs = group_pairs.join(first, "a").join(second, "b").select(*_ordered("ra", "rb"))
     inside = members.where("rep <> gid").select(*_ordered("gid", "rep"))
@@ -247,15 +286,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     so_far = components(links)
 
     # what is left: pairs across components
-    labelled = members.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    many = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
-    spread = buckets.select("token", "gid").join(labelled, "gid").select("token", "rep", "n", "component").unionByName(
-        labelled.join(many, "gid", "left_semi").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "rep", "n", "component"))
+    labelled = members.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = buckets.select("token", "gid", "n", "end", "most").join(labelled, "gid").select("token", "rep", "n", "end", "most", "component")
     open_ = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    across = spread.join(open_, "token", "left_semi")
-    other = across.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    rest = across.withColumnRenamed("rep", "a").join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits(F.col("n"), F.col("m")))
-    rest = written(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    across = spread.join(open_, "token", "left_semi").withColumnRenamed("rep", "a")
+    other = across.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("end").alias("end_m"), F.col("most").alias("most_m"), F.col("component").alias("d"))
+    met = across.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits())
+    # by size and end too, since an id may have several texts
+    rest = met.groupBy("a", "b", "n", "m", "end", "end_m").agg(F.count("*").alias("c")).where(_enough(F.col("c"))).select("a", "b")
+    # members of one group: its prefix and size say nothing more, so all across components
+    many = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
+    mixed = labelled.join(many, "gid", "left_semi").withColumnRenamed("rep", "a")
+    inside = mixed.join(mixed.select("gid", F.col("a").alias("b"), F.col("component").alias("d")), "gid").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d"))).select("a", "b")
+    rest = written(rest.unionByName(inside).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(written(verified(rest, bodies), "links"))
     labels = components(links).select(F.col("node").alias("rep"), "component")
     done = known.join(labels, "rep", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
