@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -73,24 +73,46 @@ def corpus_vectors(chunks: DataFrame) -> DataFrame:
     return embedded(chunks, "chunk_id", "raw_text", list(PARTS))
 
 
-def expand_entities(plans: DataFrame, tickers: list[str]) -> DataFrame:
-    """One plan per question and ticker; ``query_id`` becomes a combined key
-    (question x number of tickers + position)."""
-    n = len(tickers)
-    return plans.select(
-        "*", F.posexplode(F.array(*[F.lit(t) for t in tickers])).alias("pos", "entity")
-    ).withColumn("question", F.col("query_id")).withColumn("query_id", F.col("query_id") * n + F.col("pos")).withColumn("ticker", F.col("entity"))
+#: factor of the combined key where each question has companies of its own
+STRIDE = 1 << 16
 
 
-def hybrid_per_entity(chunks: DataFrame, vectors: DataFrame, plans: DataFrame, tickers: list[str], top_k: int = fixed.HYBRID_TOP_K) -> DataFrame:
-    """Hybrid search per ticker with its share of the result, merged on the
-    best score per chunk."""
-    share = max(2, top_k // max(1, len(tickers)))
+def _companies(plans: DataFrame, tickers: list[str] | str) -> Column:
+    """Distinct companies of a question: the same for all, or from its array column. A
+    question that names none keeps its own ``ticker``, and is searched once."""
+    if not isinstance(tickers, str):
+        return F.array(*[F.lit(t) for t in tickers])
+    named = F.filter(F.array_distinct(F.transform(tickers, lambda t: F.upper(F.trim(t)))), lambda t: t.isNotNull() & (t != ""))
+    own = F.col("ticker") if "ticker" in plans.columns else F.lit(None).cast("string")
+    return F.when(F.size(named) >= STRIDE, F.raise_error(F.lit(f"a question names {STRIDE} companies or more"))).when(F.size(named) > 0, named).otherwise(F.array(own))
+
+
+def expand_entities(plans: DataFrame, tickers: list[str] | str) -> DataFrame:
+    """One plan per question and company; ``query_id`` becomes a combined key
+    (question x number of tickers + position). ``tickers``: companies for every question, or
+    the array column with each question's own; then the factor is ``STRIDE``."""
+    n = STRIDE if isinstance(tickers, str) else len(tickers)
+    listed = plans.withColumn("_companies", _companies(plans, tickers))
+    return listed.select(
+        "*", F.posexplode("_companies").alias("pos", "entity")
+    ).withColumn("question", F.col("query_id")).withColumn("query_id", F.col("query_id") * n + F.col("pos")).withColumn("ticker", F.col("entity")).drop("_companies")
+
+
+def hybrid_per_entity(chunks: DataFrame, vectors: DataFrame, plans: DataFrame, tickers: list[str] | str, top_k: int = fixed.HYBRID_TOP_K) -> DataFrame:
+    """Hybrid search per company with its share of the result, merged on the
+    best score per chunk. ``tickers`` as in ``expand_entities``; the share
+    follows the number of companies of the question."""
+    own = isinstance(tickers, str)
+    share = max(2, top_k if own else top_k // max(1, len(tickers)))
+    n = STRIDE if own else len(tickers)
     per = expand_entities(plans, tickers)
-    n = len(tickers)
-    hits = hybrid_search(chunks, vectors, per.drop("pos", "entity", "question"), top_k=share)
+    searched = per.drop("pos", "entity", "question", *([tickers] if own else []))
+    hits = hybrid_search(chunks, vectors, searched, top_k=share).withColumn("question", F.floor(F.col("query_id") / n).cast("long"))
+    if own:  # the search orders all, so that a smaller share is its first rows
+        sizes = plans.select(F.col("query_id").alias("question"), F.greatest(F.lit(2), F.floor(top_k / F.size(_companies(plans, tickers)))).alias("share"))
+        hits = hits.join(sizes, "question").where("rank <= share")
     best = (
-        hits.withColumn("query_id", F.floor(F.col("query_id") / n).cast("long"))
+        hits.withColumn("query_id", F.col("question"))
         .groupBy("query_id", "chunk_id")
         .agg(F.max(F.round("rrf_score", 6)).alias("rrf_score"), F.first("ticker").alias("ticker"), F.max("dense_score").alias("dense_score"),
              F.max("sparse_score").alias("sparse_score"), F.max("rescued_table").alias("rescued_table"))
@@ -100,7 +122,8 @@ def hybrid_per_entity(chunks: DataFrame, vectors: DataFrame, plans: DataFrame, t
 
 def balanced_retrieval(hits: DataFrame, n_tickers: int, per_ticker: int) -> DataFrame:
     """Concatenate per-ticker lists in ticker order, first occurrence of a chunk
-    kept. ``hits``: combined query_id (see ``expand_entities``), chunk_id, rank."""
+    kept. ``hits``: combined query_id (see ``expand_entities``), chunk_id, rank.
+    ``n_tickers``: the factor of that key, ``STRIDE`` for companies from a column."""
     h = hits.where(F.col("rank") <= per_ticker).withColumns({
         "question": F.floor(F.col("query_id") / n_tickers).cast("long"), "pos": (F.col("query_id") % n_tickers).cast("int")})
     first = h.groupBy("question", "chunk_id").agg(F.min(F.struct("pos", "rank")).alias("at"))
