@@ -199,27 +199,41 @@ def mentions_ticker(answer: Column, ticker: Column) -> Column:
     return F.contains(up, ticker) | F.coalesce(F.contains(up, alias), F.lit(False))
 
 
-def presence_flags(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Does either store hold anything for the scope? (distinct scopes only)"""
+def each_company(rows: DataFrame, companies: list[str]) -> DataFrame:
+    """Rows of scope ALL once for each company, others as they are."""
+    if not companies:
+        return rows
+    return rows.withColumn("ticker", F.explode(F.when(F.col("ticker") == "ALL", F.array(*[F.lit(c) for c in companies])).otherwise(F.array("ticker"))))
+
+
+def presence_flags(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str], companies: list[str] | None = None) -> DataFrame:
+    """Does either store hold anything for the scope? (distinct scopes only)
+    With ``companies``, scope ALL has what any of them has."""
     both = a.select(*by, F.lit(True).alias("x"), F.lit(False).alias("y")).unionByName(b.select(*by, F.lit(False).alias("x"), F.lit(True).alias("y")))
     per = both.groupBy(*by).agg(F.bool_or("x").alias("in_a"), F.bool_or("y").alias("in_b"))
+    if companies:
+        rest = [c for c in by if c != "ticker"]
+        every = per.where(F.col("ticker").isin(companies)).groupBy(*rest).agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b")).withColumn("ticker", F.lit("ALL"))
+        per = per.where("ticker <> 'ALL'").unionByName(every)
     return answers.join(per, by, "left").withColumns({"in_a": F.coalesce("in_a", F.lit(False)), "in_b": F.coalesce("in_b", F.lit(False))})
 
 
-def grounding_status(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str], evidence_text: DataFrame | None = None) -> DataFrame:
+def grounding_status(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str], evidence_text: DataFrame | None = None, companies: list[str] = fixed.SUPPORTED_TICKERS) -> DataFrame:
     """PASS / PARTIAL / FAIL with the layer at fault, per answer.
 
-    ``answers``: request_id, answer, query and ``by`` (ticker, fiscal_year)."""
+    ``answers``: request_id, answer, query and ``by`` (ticker, fiscal_year). Scope ALL is
+    checked against all ``companies``; a claim needs the figures of one of them."""
     texts = a if evidence_text is None else evidence_text
-    claims = claim_rows(answers, ["request_id", *by, "query"])
+    claims = each_company(claim_rows(answers, ["request_id", *by, "query"]), companies)
     matched = claims_vs_evidence(claims, evidence_numbers(texts, by), by, ["request_id", "claim_no"])
     margin = derived_margin(texts, by)
     words = F.lower(F.concat_ws(" ", "claim", "query"))
     m = matched.join(margin, by, "left")
     derived = F.when(F.contains(words, F.lit("operating margin")), F.col("operating_margin")).when(F.contains(words, F.lit("gross margin")), F.col("gross_margin"))
     ok = F.col("matched") | F.coalesce(close_to(F.col("value"), derived), F.lit(False))
-    per = m.groupBy("request_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(ok).alias("supported"))
-    j = presence_flags(answers, a, b, by).join(per, "request_id", "left")
+    claim = m.groupBy("request_id", "claim_no").agg(F.bool_or(ok).alias("ok"))
+    per = claim.groupBy("request_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("ok").alias("supported"))
+    j = presence_flags(answers, a, b, by, companies).join(per, "request_id", "left")
     refused = is_refusal(F.col("answer"), fixed.AUDIT_REFUSALS) | (F.trim("answer") == "")
     everything = F.col("ticker") == "ALL"
     ratio = F.col("supported") / F.col("claims")
@@ -258,16 +272,16 @@ def terms_in_text(terms: DataFrame, chunks: DataFrame, by: list[str], text: str
     return exact.select(*by, "term").unionByName(longer.select(*by, "term"))
 
 
-def grounding_class(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """Grounding label from the leading three terms of each claim."""
-    claims = claim_rows(answers, ["request_id", *by])
+def grounding_class(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str], companies: list[str] = fixed.SUPPORTED_TICKERS) -> DataFrame:
+    """Grounding label from the leading three terms of each claim; scope ALL over all ``companies``."""
+    claims = each_company(claim_rows(answers, ["request_id", *by]), companies)
     plain = F.translate(F.lower("claim"), "$,", "")
     terms = F.slice(F.filter(F.split(plain, r"\s+"), lambda x: x != ""), 1, 3)
     c = claims.select("request_id", *by, "claim_no", F.explode_outer(terms).alias("term"))
     found = terms_in_text(c.where("term is not null"), a, by).withColumn("_f", F.lit(True))
     hit = c.join(found, [*by, "term"], "left").groupBy("request_id", "claim_no").agg(F.coalesce(F.bool_or("_f"), F.lit(False)).alias("ok"))
     per = hit.groupBy("request_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("ok").alias("supported"))
-    j = presence_flags(answers, a, b, by).join(per, "request_id", "left")
+    j = presence_flags(answers, a, b, by, companies).join(per, "request_id", "left")
     refused = F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lit("not available")) | (F.coalesce("answer", F.lit("")) == "")
     ratio = F.col("supported") / F.col("claims")
     label = (F.when(refused & ~F.col("in_a") & ~F.col("in_b"), "CORRECT_REFUSAL").when(refused & ~F.col("in_a"), "CONTEXT_ASSEMBLY_FAILURE").when(refused, "RETRIEVAL_FAILURE")

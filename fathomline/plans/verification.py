@@ -179,7 +179,7 @@ NAMED = "(contains(upper(answer), ticker) OR contains(upper(answer), CASE ticker
         SELECT mt.*, CASE WHEN contains(lower(claim || ' ' || query), 'operating margin') THEN operating_margin WHEN contains(lower(claim || ' ' || query), 'gross margin') THEN gross_margin END AS dm FROM mt LEFT JOIN mg USING (ticker, fiscal_year)) GROUP BY request_id) USING (request_id)))""",
     CLAIMS + ",\n" + MARGIN + ",\n" + EVID.replace("FROM corpus", "FROM st") + ",\n" + FLAGS.format("st")))
 def grounding_status(spark, sf):
-    return v.grounding_status(asked_answers(spark, sf), statements(spark, sf), d.vector_store(spark, sf), BY)
+    return v.grounding_status(asked_answers(spark, sf), statements(spark, sf), d.vector_store(spark, sf), BY, companies=[])  # as its SQL: ALL is a scope of its own
 
 
 @query("grounding_class", W(["answers", "corpus", "vector_store"], """SELECT request_id, CASE WHEN ref AND NOT ia AND NOT ib THEN 'CORRECT_REFUSAL' WHEN ref AND NOT ia THEN 'CONTEXT_ASSEMBLY_FAILURE' WHEN ref THEN 'RETRIEVAL_FAILURE'
@@ -193,7 +193,7 @@ vo AS (SELECT DISTINCT ticker, fiscal_year, unnest(string_split_regex(lower(raw_
 tf AS (SELECT ticker, fiscal_year, term, EXISTS (SELECT 1 FROM vo WHERE vo.ticker = dt.ticker AND vo.fiscal_year = dt.fiscal_year AND contains(vo.word, dt.term)) AS f FROM dt),
 """ + FLAGS.format("corpus")))
 def grounding_class(spark, sf):
-    return v.grounding_class(asked_answers(spark, sf), d.corpus(spark, sf), d.vector_store(spark, sf), BY)
+    return v.grounding_class(asked_answers(spark, sf), d.corpus(spark, sf), d.vector_store(spark, sf), BY, companies=[])  # as its SQL
 
 
 @query("number_to_chunks", W(["answers", "table_chunks"], r"""SELECT number, chunk_id, min(place) AS "offset" FROM (SELECT chunk_id, replace(t, ',', '') AS number, instr(raw_text, t) - 1 AS place FROM (SELECT chunk_id, raw_text, unnest(regexp_extract_all(raw_text, '\d[\d,]*(?:\.\d+)?')) AS t FROM table_chunks))
