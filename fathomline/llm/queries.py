@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, bpe, chat, embeddings, jaccard, licenses, packing, quality, sharding, substrings
+from . import archives, bpe, bytepairs, chat, clusters, divergence, embeddings, jaccard, licenses, packing, quality, sharding, substrings
 from .registry import query
 
 
@@ -151,3 +151,70 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select(
         "doc_id", F.col("__n_words").alias("n_words"), F.col("__word_chars").alias("word_chars"), F.col("__n_symbols").alias("n_symbols"), F.col("__n_dup_lines").alias("n_dup_lines"),
         F.col("__n_repeat_words").alias("n_repeat_words"), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+_CENTROIDS_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v FROM kept QUALIFY cluster < 40
+), """ + ", ".join(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, k.v, min(struct_pack(d := CAST(list_sum([power(CAST(k.v[j] - c.v[j] AS BIGINT), 2) for j in range(1, 65)]) AS BIGINT), n := cluster)) AS best
+  FROM kept k CROSS JOIN c{i} c GROUP BY vec_id, k.v
+)""" + (f""", s{i} AS (
+  SELECT best.n AS cluster, j, sum(v[j]) AS total, count(*) AS n FROM a{i} CROSS JOIN range(1, 65) t(j) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM s{i} GROUP BY cluster) m USING (cluster)
+)""" if i < 5 else "") for i in range(6)) + """
+SELECT vec_id, CAST(best.n AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.n) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a5 JOIN c5 c ON best.n = c.cluster
+"""
+
+
+@query("op11_equal_average_search", _CENTROIDS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters after five rounds."""
+    return clusters.reported(*clusters.clusters(table(spark, sf_dir, "embeddings")))
+
+
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), one AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS whole FROM one GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS size, sum(whole) AS total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM one GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT * FROM counts SEMI JOIN kept USING (lang, term)) USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (g.total + l.size) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (whole + 1)) // (l.total + l.size) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS v FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), listed AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM listed QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_pattern_tree_audit", _DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources of all languages against each other and against their language."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+@query("op13_segment_tree_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded with the multilingual byte-level ranks."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytepairs.digests(bytepairs.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
