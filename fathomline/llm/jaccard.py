@@ -76,21 +76,25 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        seen = n >= 3
-        return pa.RecordBatch.from_arrays([pa.array(value[seen].view(np.int64)), pa.array(n[seen])], ["shingle", "n"])
+    held, size = np.empty(COUNTED, np.uint64), 0
+
+    def emit() -> pa.RecordBatch:
+        value = held[:size]
+        value.sort()
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if size else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, size))
+        return pa.RecordBatch.from_arrays([pa.array(value[first[n >= 3]].view(np.int64)), pa.array(n[n >= 3])], ["shingle", "n"])
 
-    held, size = [], 0
     for b in blocks(batches, "text"):
         value, _ = shingle_sets(b.column("text"))
-        held.append(value)
-        size += len(value)
-        if size > COUNTED:
-            yield emit(held)
-            held, size = [], 0
-    if size:
-        yield emit(held)
+        while len(value):
+            some = value[:COUNTED - size]
+            held[size:size + len(some)] = some
+            size, value = size + len(some), value[len(some):]
+            if size == COUNTED:
+                yield emit()
+                size = 0
+    yield emit()
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -148,22 +152,20 @@ def _profiles(often: np.ndarray):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their token whose token another row has too."""
-    token, ident = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows in order of their token whose token the row before or behind has too."""
+    last, sent = None, True  # the last row, and whether it went out
     for b in batches:
-        token = np.concatenate([token, b.column("token").to_numpy()])
-        ident = np.concatenate([ident, b.column("id").to_numpy()])
-        if len(token):
-            cut = int(np.searchsorted(token, token[-1], "left"))
-            yield _twins(token[:cut], ident[:cut])
-            token, ident = token[cut:], ident[cut:]
-    yield _twins(token, ident)
-
-
-def _twins(token: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
-    same = token[1:] == token[:-1]
-    keep = np.append(False, same) | np.append(same, False) if len(token) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ident[keep])], ["token", "id"])
+        if not b.num_rows:
+            continue
+        token = b.column("token").to_numpy()
+        same = token[1:] == token[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if last is not None and last.column("token")[0].as_py() == int(token[0]):
+            keep[0] = True
+            if not sent:
+                yield last
+        yield b.filter(pa.array(keep))
+        last, sent = b.slice(b.num_rows - 1), bool(keep[-1])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +235,14 @@ def _fits() -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (_earlier(F.col("most"), F.col("most_m")) * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
-def _enough(common: Column) -> Column:
-    """Whether ``common`` shingles of both kept prefixes allow a link: all others that
-    two documents share lie behind the prefix that ends first or were dropped."""
+def _can_be_first() -> Column:
+    """Whether a shared shingle can be the first that both documents of a link kept: all
+    others that they share lie behind it in both or were dropped before it. One document
+    drops all common shingles that the other does, or the other way round, since both
+    drop by the same order."""
     n, m = F.col("n"), F.col("m")
-    behind = _earlier(n - _prefix(n), m - _prefix(m)) + F.greatest(_spare(n), _spare(m))
-    return (common + behind) * (100 + PERCENT) >= (n + m) * PERCENT
+    most = F.greatest("before", "before_m") + F.least(n - F.col("place"), m - F.col("place_m"))
+    return most * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -248,23 +252,30 @@ def _ordered(a: str, b: str) -> list[Column]:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id (the least id reachable by links) of every row."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    # light shingles, the bulk, are made where they are dealt, not stored
     profiles = rows.mapInArrow(_profiles(frequent(rows)), "id long, n long, key long, key2 long, group_key long, end long, light array<long>, heavy array<long>")
+    bulk = profiles.select("id", F.posexplode("light").alias("place", "token"))
+    profiles = written(profiles.withColumn("ahead", F.size("light")).drop("light"), "profiles")
     sets = profiles.select("id", "n", "key", "key2", "group_key", "end")
     rep = sets.groupBy("key", "key2", "n").agg(F.min("id").alias("rep"))
     known = written(sets.join(rep, ["key", "key2", "n"]).select("id", "n", "rep", "group_key", "end"), "sets")
     groups = known.where("n > 0").groupBy("group_key", "n", "end").agg(F.min("rep").alias("gid"))
     members = written(known.where("n > 0").select("group_key", "n", "end", "rep").distinct().join(groups, ["group_key", "n", "end"]).select("gid", "rep", "n", "end"), "members")
 
-    tokens = profiles.select("id", F.explode("light").alias("token")).repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, id long")
-    tokens = tokens.unionByName(profiles.select(F.explode("heavy").alias("token"), "id"))
+    # shingles of the prefixes with their place in the order of all
+    light = bulk.repartition("token").sortWithinPartitions("token")
+    heavy = profiles.select("id", "ahead", F.posexplode("heavy").alias("place", "token"))
+    tokens = light.select("token", "id", "place").mapInArrow(_repeated, "token long, id long, place int").unionByName(heavy.select("token", "id", (F.col("ahead") + F.col("place")).alias("place")))
     ids = known.where("n > 0").select("id", "rep", "n", "end").join(members, ["rep", "n", "end"]).select("id", "gid", "n", "end").distinct()
-    shared = tokens.join(ids, "id").select("token", "gid", "n", "end").distinct()
+    shared = tokens.join(ids, "id").select("token", "gid", "n", "end", "place").distinct()
     held = shared.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("gid", "n", "end")
     ranked = shared.join(held, "token").withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), F.desc("token")))).withColumn("met", F.count("*").over(own))
+    dropped = F.col("rank") <= _spare(F.col("n"))
+    ranked = ranked.withColumn("before", F.sum(dropped.cast("int")).over(own.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     # without the shingles of the prefix that no other prefix has: the most that a partner whose prefix ends later can share
     most = F.col("n") - F.greatest(_prefix(F.col("n")) - F.col("met"), F.lit(0))
-    kept = ranked.where(F.col("rank") > _spare(F.col("n"))).select("token", "gid", "n", "end", most.alias("most"), (F.col("met") / F.col("n")).alias("weight"))
+    kept = ranked.where(~dropped).select("token", "gid", "n", "end", "place", "before", most.alias("most"), (F.col("met") / F.col("n")).alias("weight"))
     buckets = written(kept, "buckets")
 
     # groups against the pivot that they meet most often, members of one group against its least
@@ -287,13 +298,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     # what is left: pairs across components
     labelled = members.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = buckets.select("token", "gid", "n", "end", "most").join(labelled, "gid").select("token", "rep", "n", "end", "most", "component")
+    columns = ["token", "rep", "n", "end", "place", "before", "most", "component"]
+    spread = buckets.join(labelled, "gid").select(*columns)
     open_ = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     across = spread.join(open_, "token", "left_semi").withColumnRenamed("rep", "a")
-    other = across.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("end").alias("end_m"), F.col("most").alias("most_m"), F.col("component").alias("d"))
-    met = across.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits())
-    # by size and end too, since an id may have several texts
-    rest = met.groupBy("a", "b", "n", "m", "end", "end_m").agg(F.count("*").alias("c")).where(_enough(F.col("c"))).select("a", "b")
+    other = across.select("token", F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"{c}_m") for c in ("end", "place", "before", "most")], F.col("component").alias("d"))
+    met = across.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits() & _can_be_first())
+    rest = met.select("a", "b").distinct()
     # members of one group: its prefix and size say nothing more, so all across components
     many = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
     mixed = labelled.join(many, "gid", "left_semi").withColumnRenamed("rep", "a")
