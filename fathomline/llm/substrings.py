@@ -272,33 +272,44 @@ def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(marks, pa.binary())], ["id", "hash", "marks"]).filter(keep)
 
 
+def _lost(b: pa.RecordBatch, window: int) -> dict[int, np.ndarray]:
+    """Which words go, for each row that has hits."""
+    hit = np.flatnonzero(b.column("hits").is_valid().to_numpy(zero_copy_only=False))
+    if not len(hit):
+        return {}
+    b = b.take(pa.array(hit))
+    s = Segments(b.column("text"), window)
+    bounds = np.searchsorted(s.doc, np.arange(b.num_rows + 1))
+    out = {}
+    for d, hits in enumerate(b.column("hits").to_pylist()):
+        marks = {h["hash"]: h["marks"] for h in hits}
+        delta = np.zeros(int(s.words.count[d]) + 1, dtype=np.int64)
+        for k in range(bounds[d], bounds[d + 1]):
+            m = marks.get(int(s.hash[k]))
+            if m is not None:
+                at, n = int(s.first[k] - s.words.begin[d]), int(s.count[k])
+                on = at + (np.arange(n) if m == b"" else np.flatnonzero(np.frombuffer(m, dtype=bool)))
+                np.add.at(delta, on, 1)
+                np.add.at(delta, on + window, -1)
+        out[int(hit[d])] = np.cumsum(delta)[:-1] > 0
+    return out
+
+
 def _kept(window: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            s = Segments(b.column("text"), window)
-            hits = b.column("hits").to_pylist()
-            bounds = np.searchsorted(s.doc, np.arange(b.num_rows + 1))
+            lost = _lost(b, window)
             total, gone, kept, spans = [], [], [], []
             for d, text in enumerate(b.column("text").to_pylist()):
                 words = (text or "").encode().split()
-                keep = np.ones(len(words), dtype=bool)
-                if hits[d]:
-                    marks = {h["hash"]: h["marks"] for h in hits[d]}
-                    delta = np.zeros(len(words) + 1, dtype=np.int64)
-                    for k in range(bounds[d], bounds[d + 1]):
-                        m = marks.get(int(s.hash[k]))
-                        if m is not None:
-                            at = int(s.first[k] - s.words.begin[d])
-                            n = int(s.count[k])
-                            on = at + (np.arange(n) if m == b"" else np.flatnonzero(np.frombuffer(m, dtype=bool)))
-                            np.add.at(delta, on, 1)
-                            np.add.at(delta, on + window, -1)
-                    keep = np.cumsum(delta)[:-1] == 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (~keep).astype(np.int8), [0]])))
-                spans.append([{"first": int(x), "last": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 total.append(len(words))
-                gone.append(int(len(words) - keep.sum()))
-                kept.append(b" ".join(words if keep.all() else compress(words, keep)).decode())
+                if d not in lost:
+                    gone.append(0), kept.append(b" ".join(words).decode()), spans.append([])
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], lost[d].astype(np.int8), [0]])))
+                spans.append([{"first": int(x), "last": int(y)} for x, y in zip(edge[::2], edge[1::2])])
+                gone.append(int(lost[d].sum()))
+                kept.append(b" ".join(compress(words, ~lost[d])).decode())
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
                 [*names, "n_words", "n_removed", "kept", "removed"])
