@@ -24,10 +24,12 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +40,25 @@ UNSPLIT_CHARS = 4_096
 WINDOW_CHARS = 64
 #: consecutive tokens that must agree on either side of a join
 AGREE = 3
+#: bytes of text whose words are looked up together
+ENCODED_BYTES = 4 << 20
 #: words remembered by a task, twice that at most
 REMEMBERED = 120_000
 #: blanks that end tokens for certain; other white space goes to the tokenizer
 BLANKS = re.compile("[ \n]")
 #: a word of Latin letters, then marks that cannot begin a contraction
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+SIMPLE = re.compile(r"(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)")
 
 #: how the tokenizer's byte level writes the two UTF-8 bytes of those letters
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _HIDDEN = [b for b in range(0x100) if b not in _PRINTED]
 BYTE_SIGNS = {c: "".join(chr(b if b in _PRINTED else 0x100 + _HIDDEN.index(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
+#: how a tokenizer prepares texts whose words can be encoded one by one: normaliser and pre-tokenizer
+PREPARED = (
+    'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])',
+    """Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""")
+
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends
 
 
@@ -117,54 +126,91 @@ def tree(tok, text: str, leaf: int = UNSPLIT_CHARS, at: int = 0) -> Tokens:
 
 
 class Memory(dict):
-    """Values by key, made when they are missing; the latest ``most`` to twice as many are kept."""
+    """Values by key; of those used since the last ``trim``, the latest ``most`` outlast it, in ``older``."""
 
-    def __init__(self, most: int, make: Callable[[str], bytes]):
+    def __init__(self, most: int):
         super().__init__()
-        self.most, self.make, self.older = most, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
+        self.most, self.older = most, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Keys without a value; those known from earlier are taken over."""
+        older, out = self.older, []
+        for k in keys:
+            if k not in self:
+                if (value := older.get(k)) is not None:
+                    self[k] = value
+                else:
+                    out.append(k)
+        return out
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(islice(self.items(), len(self) - self.most, None))
             self.clear()
-        self[key] = value
-        return value
 
 
 class Encoder:
-    """Ids of texts, word by word, with a bounded memory of words seen lately.
+    """Ids of texts, with a bounded memory of words seen lately.
 
     A simple word is its letters, in lower case, and its marks; letters go to the
-    library's BPE model as they are, everything else through the whole tokenizer."""
+    library's BPE model as they are, everything else through the whole tokenizer. That
+    holds for tokenizers that prepare texts like the word vocabulary; others get whole texts."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tok = tokenizer(path)
         self.model = self.tok.model
-        self.words = Memory(remembered, self._word)
-        self.letters, self.marks = Memory(2 * remembered, self._letters), Memory(remembered, self._whole)
+        self.by_words = (str(self.tok.normalizer), str(self.tok.pre_tokenizer)) == PREPARED
+        self.words, self.letters, self.marks = Memory(remembered), Memory(2 * remembered), Memory(remembered)
 
     def _letters(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(text.translate(BYTE_SIGNS))]).tobytes()
+        signs = text if text.isascii() else text.translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         if len(text) > UNSPLIT_CHARS:
             return tree(self.tok, text)[0].astype("<u4").tobytes()
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        m = SIMPLE.fullmatch(word)
-        if m is None or len(word) > UNSPLIT_CHARS:
-            return self._whole(word)
-        letters, marks = m.groups()
-        ids = self.letters[letters.lower()]
-        return ids + self.marks[marks] if marks else ids
+    def _known(self, memory: Memory, distinct: pa.Array, make: Callable[[str], bytes]) -> list[bytes]:
+        keys = distinct.to_numpy(zero_copy_only=False).tolist()
+        for k in memory.missing(keys):
+            memory[k] = make(k)
+        return [memory[k] for k in keys]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        return [b"".join(map(self.words.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+        return self.column(pa.array(texts, pa.string())).to_pylist()
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        """Ids of a column of texts without nulls. Words are looked up once each, and
+        then a text's ids gathered from those of its words' letters and marks."""
+        if not self.by_words:
+            return pa.array([self._whole(t) for t in texts.to_pylist()], pa.binary())
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        parts = pc.extract_regex(words, pattern=f"^{SIMPLE.pattern}$")
+        simple = pc.and_(parts.is_valid(), pc.less_equal(pc.utf8_length(words), UNSPLIT_CHARS))
+        letters = pc.utf8_lower(parts.field("letters").filter(simple)).dictionary_encode()
+        marks = parts.field("marks").filter(simple).dictionary_encode()
+        known = [self._known(self.letters, letters.dictionary, self._letters), self._known(self.marks, marks.dictionary, self._whole), self._known(self.words, words.filter(pc.invert(simple)), self._whole)]
+        pieces = [b"", *known[0], *known[1], *known[2]]
+        blob, size = np.frombuffer(b"".join(pieces), np.uint32), np.array([len(x) // 4 for x in pieces])
+        start = np.cumsum(size) - size
+        # the two pieces of each word
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        first[is_simple] = 1 + letters.indices.to_numpy()
+        second[is_simple] = 1 + len(known[0]) + marks.indices.to_numpy()
+        first[~is_simple] = 1 + len(known[0]) + len(known[1]) + np.arange(len(known[2]))
+        row = np.stack([first[which], second[which]], axis=1).reshape(-1)
+        n = size[row]
+        ends = np.append(0, np.cumsum(n))
+        ids = blob[np.repeat(start[row] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = (ends[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())] * 4).astype(np.int32)
+        for memory in (self.words, self.letters, self.marks):
+            memory.trim()
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 @lru_cache(maxsize=4)
@@ -174,9 +220,8 @@ def encoder(path: str) -> Encoder:
 
 def _whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
-            ids = encoder(path).encode(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+        for b in blocks(batches, "text", ENCODED_BYTES):
+            yield pa.RecordBatch.from_arrays([b.column("key"), encoder(path).column(b.column("text"))], ["key", "ids"])
 
     return run
 
@@ -200,17 +245,17 @@ def _encoded_leaves(path: str):
     """A leaf's first rim, the final ids inside, and its last rim; a leaf without blanks is all rim."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", ENCODED_BYTES):
             heads, inner, tails = [], [], []
             for text in b.column("text").to_pylist():
-                m = BLANKS.search(text)
+                m = BLANKS.search(text) if encoder(path).by_words else None
                 if m is None:
                     heads.append(text), inner.append(None), tails.append("")
                     continue
                 last = max(text.rfind(" "), text.rfind("\n"))
                 heads.append(text[:m.start()]), inner.append(text[m.start():last]), tails.append(text[last + 1:])
-            ids = encoder(path).encode([x or "" for x in inner])
-            inside = pa.array([None if x is None else y for x, y in zip(inner, ids)], pa.binary())
+            ids = encoder(path).column(pa.array([x or "" for x in inner], pa.string()))
+            inside = pc.if_else(pc.is_null(pa.array(inner, pa.string())), None, ids)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("key"), b.column("leaf"), pa.array(heads, pa.string()), inside, pa.array(tails, pa.string())], ["row", "key", "leaf", "head", "inside", "tail"])
 
     return run
@@ -219,14 +264,16 @@ def _encoded_leaves(path: str):
 def _concatenated(path: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("leaf")
-        out, rim = [], []
+        rims, inner, rim = [], [], []
         for head, inside, tail in zip(pdf["head"], pdf["inside"], pdf["tail"]):
             rim.append(head)
             if inside is not None:
-                out += encoder(path).encode(["".join(rim)]) + [bytes(inside)]
+                rims.append("".join(rim))
+                inner.append(bytes(inside))
                 rim = [tail]
-        out += encoder(path).encode(["".join(rim)])
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [b"".join(out)]})
+        coded = encoder(path).encode([*rims, "".join(rim)])
+        whole = b"".join(x for pair in zip(coded, inner) for x in pair) + coded[-1]
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [whole]})
 
     return run
 
