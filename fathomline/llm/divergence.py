@@ -44,8 +44,12 @@ from .arrow import blocks, written
 SHARE = 1_000_000_000
 DOCUMENTS = 3
 TERMS = 200
+#: counts from which on the product with SHARE needs more than 64 bits
+LARGE = 9_000_000_000
 #: bytes of a text counted at once, distinct terms of all groups that a task holds, nodes of a tree
-SLICE, HELD, NODES = 1 << 20, 150_000, 1 << 19
+SLICE, HELD, NODES = 1 << 20, 500_000, 1 << 19
+#: two counts in one integer: a task holds fewer documents and occurrences than this at once
+BOTH = 1 << 31
 #: bytes of terms keep their value, A-Z lowered; all others become blanks
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -71,29 +75,25 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of terms by language and source; a null term stands for the group itself."""
     names = ["lang", "source", "term", "n", "docs"]
-    occurrences: dict[tuple, Counter] = {}
-    documents: dict[tuple, Counter] = {}
+    groups: dict[tuple, dict[bytes, int]] = {}  # occurrences times BOTH plus documents
 
     def emit() -> Iterator[pa.RecordBatch]:
-        for group, counts in occurrences.items():
-            words, n, docs = [None, *counts], [0, *counts.values()], [0, *(documents[group][w] for w in counts)]
-            columns = [pa.array([group[0]] * len(n), pa.string()), pa.array([group[1]] * len(n), pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names)
+        for (lang, source), counts in groups.items():
+            n, docs = np.divmod(np.array([0, *counts.values()], dtype=np.int64), BOTH)
+            same = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([x])).cast(pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array([None, *counts], pa.binary()).cast(pa.string()), pa.array(n), pa.array(docs)], names)
 
     for b in blocks(batches, "text"):
         for text, lang, source in zip(*(b.column(c).to_pylist() for c in ("text", "lang", "source"))):
-            group = (lang, source)
-            if group not in occurrences:
-                occurrences[group], documents[group] = Counter(), Counter()
+            counts = groups.setdefault((lang, source), {})
             own: Counter = Counter()
             for some in terms(text.encode()):
                 own.update(some)
             for w, n in own.items():
-                occurrences[group][w] += n
-            documents[group].update(own.keys())
-        if sum(map(len, occurrences.values())) > HELD:
+                counts[w] = counts.get(w, 0) + n * BOTH + 1
+        if sum(map(len, groups.values())) > HELD:
             yield from emit()
-            occurrences, documents = {}, {}
+            groups = {}
     yield from emit()
 
 
@@ -102,10 +102,11 @@ def _value(p: str, q: str) -> Column:
     return F.expr(f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})")
 
 
-def _share(n: str, total: str, size: str) -> Column:
-    """Share of ``n`` among ``total`` occurrences and ``size`` terms; null without terms."""
-    wide = f"cast(cast({n} + 1 as decimal(19,0)) * {SHARE} as decimal(29,0))"
-    return F.expr(f"CASE WHEN {size} > 0 THEN 1 + {wide} div cast({total} + {size} as decimal(20,0)) END").cast("long")
+def _share(n: Column, total: Column, size: Column) -> Column:
+    """Share of ``n`` among ``total`` occurrences and ``size`` terms; wide where a product would leave 64 bits."""
+    wide = (n + 1).cast("decimal(19,0)") * F.lit(SHARE).cast("decimal(10,0)")
+    near = F.call_function("div", (n + 1) * SHARE, total + size)
+    return 1 + F.when(n < LARGE, near).otherwise(F.call_function("div", wide, (total + size).cast("decimal(20,0)")))
 
 
 class Tree:
@@ -200,24 +201,25 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     and the ``ranks`` terms that part a source most from its language (``term``)."""
     d = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
     found = d.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    counts = written(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-
-    # one row for each kept term of a language: what its sources have of it
-    of_term = counts.where("term IS NOT NULL").groupBy("lang", "term")
-    rows = of_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.collect_list(F.struct("source", "n")).alias("row")).where(F.col("docs") >= documents)
-    rows = written(rows.select("lang", "term", "all", "row"), "rows")
-    langs = counts.where("term IS NULL").select("lang").distinct().join(rows.groupBy("lang").agg(F.count("*").alias("size"), F.sum("all").alias("whole")), "lang", "left")
-    langs = langs.select("lang", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("whole", F.lit(0)).alias("whole"))
-    cells = rows.select("lang", "term", "all", F.inline("row"))
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang")
-    groups = groups.withColumn("total", F.coalesce("total", F.lit(0))).withColumn("base", _share("0", "total", "size"))
-    groups = written(groups, "groups")
-
-    shares = cells.join(groups, ["lang", "source"]).withColumn("share", _share("n", "total", "size"))
-    shares = written(shares.withColumn("of_lang", _share("`all`", "whole", "size")).select("lang", "term", "source", "share", "base", "of_lang"), "shares")
+    # one deal by term serves both sums; the row without a term lists a language's groups
+    by_term = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).groupBy("lang", "term")
+    rows = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("row"))
+    rows = written(rows.where((F.col("docs") >= documents) | F.col("term").isNull()).select("lang", "term", "all", "row"), "rows")
+    kept = rows.where("term IS NOT NULL")
+    langs = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("all").alias("whole"))
+    totals = kept.select("lang", F.inline("row")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    seen = rows.where("term IS NULL").select("lang", F.inline("row")).select("lang", "source")
+    groups = seen.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce("total", F.lit(0)).alias("total"))
+    groups = written(groups.withColumn("base", F.when(F.col("size") > 0, _share(F.lit(0).cast("bigint"), F.col("total"), F.col("size")))), "groups")
+
+    # a term's row becomes its path: the shares of the sources that have it
+    known = groups.groupBy("lang", "size", "whole").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "base")))).alias("of"))
+    item = lambda x: F.struct(x["source"].alias("source"), _share(x["n"], F.col("of")[x["source"]]["total"], F.col("size")).alias("share"), F.col("of")[x["source"]]["base"].alias("base"))
+    shares = kept.join(known, "lang").select("lang", "term", _share(F.col("all"), F.col("whole"), F.col("size")).alias("of_lang"), F.transform("row", item).alias("path"))
+    shares = written(shares, "shares")
+    cells = shares.select("lang", "term", "of_lang", F.inline("path"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    own = shares.where("share > of_lang").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _value("share", "of_lang").alias("value"))
+    own = cells.where("share > of_lang").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _value("share", "of_lang").alias("value"))
     own = own.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= ranks)
 
     a = groups.select("lang", "source", "size", F.col("base").alias("p"))
@@ -225,13 +227,12 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     wide = lambda c: c.cast("decimal(38,0)")
     pairs = a.join(b, "lang").where("source <> item")
     base = pairs.select("lang", "source", "item", F.coalesce(wide(F.col("size")) * wide(_value("p", "q")), wide(F.lit(0))).cast("decimal(38,0)").alias("value"))
-    singles = shares.groupBy("lang", "source", "share", "base").agg(F.count("*").alias("m"))
+    singles = cells.groupBy("lang", "source", "share", "base").agg(F.count("*").alias("m"))
     against = singles.join(b.withColumnRenamed("q", "other"), "lang").where("source <> item")
     of_own = against.select("lang", "source", "item", (wide(F.col("m")) * wide(_value("share", "other") - _value("base", "other"))).cast("decimal(38,0)").alias("value"))
     of_other = against.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), (wide(F.col("m")) * wide(_value("other", "share") - _value("other", "base"))).cast("decimal(38,0)").alias("value"))
 
-    path = F.sort_array(F.collect_list(F.struct("source", "share", "base"))).alias("path")
-    paths = shares.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count("*").alias("times")).where(F.size("path") > 1)
+    paths = shares.where(F.size("path") > 1).groupBy("lang", "path").agg(F.count("*").alias("times"))
     dealt = written(paths, "paths").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
     tree = dealt.mapInArrow(_corrected, "lang string, source string, item string, value long").withColumn("value", F.col("value").cast("decimal(38,0)"))
 
