@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import tokens
-from ..operators import dense, hybrid, rerank, scopes, sparse
+from ..operators import dense, hybrid, postings, rerank, scopes, sparse
+from ..session import shared_folder
 from ..sources import derived as d
 from .registry import query
 
@@ -101,6 +102,14 @@ def bm25_search(spark, sf):
     return sparse.bm25_search(d.corpus(spark, sf), plans(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("bm25_search_stored", with_q("SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM brank WHERE rank <= 40", bm25_cte("b", "corpus", "questions")))
+def bm25_search_stored(spark, sf):
+    """The same hits from an index written before."""
+    path = shared_folder(spark, "bm25-index")
+    postings.build(d.corpus(spark, sf), path)
+    return postings.search(spark, path, plans(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("metadata_prefilter", with_q(f"""SELECT query_id, count(d.chunk_id) AS candidates FROM questions s LEFT JOIN corpus d ON {ADMIT} GROUP BY query_id"""))
 def metadata_prefilter(spark, sf):
     return scopes.candidate_counts(d.corpus(spark, sf), plans(spark, sf))
