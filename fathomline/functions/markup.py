@@ -39,22 +39,81 @@ def table_html(html: Column) -> Column:
     return F.transform(find_all(html, TABLE), lambda t: leaf(t))
 
 
+def numeric_entities(text: Column) -> Column:
+    """Decimal and hexadecimal character references by code point; those that name no
+    character stay."""
+    p = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+    def sign(ref: Column) -> Column:
+        code = F.when(F.lower(F.substring(ref, 1, 1)) == "x", F.conv(F.substring(ref, 2, 6), 16, 10)).otherwise(ref).cast("int")
+        real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&#"), ref, F.lit(";")))
+
+    decoded = interleave(F.split(text, p, -1), F.transform(find_all(text, p, 1), sign))
+    return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
+
+
+def entities(text: Column) -> Column:
+    return replace_all(numeric_entities(replace_all(text, fixed.HTML_ENTITIES)), fixed.CLEAN_ENTITIES[:6])
+
+
 def plain(fragment: Column) -> Column:
     """Text of a fragment: tags out, entities decoded, white space collapsed."""
-    t = F.regexp_replace(fragment, r"<[^>]+>", " ")
-    t = replace_all(t, fixed.HTML_ENTITIES + fixed.CLEAN_ENTITIES[:6])
-    return trim_ws(F.regexp_replace(t, r"(?U)\s+", " "))
+    return trim_ws(F.regexp_replace(entities(F.regexp_replace(fragment, r"<[^>]+>", " ")), r"(?U)\s+", " "))
+
+
+_PLACED = "array<struct<text:string,col:int,left:int>>"
+
+
+def _aged(x: Column) -> Column:
+    return F.struct(x["text"].alias("text"), x["col"].alias("col"), (x["left"] - 1).alias("left"))
+
+
+def occupancy_grid(rows: Column) -> Column:
+    """Texts of all cells by row and column. ``rows``: arrays of (text, wide, tall).
+
+    A fold over rows carries the cells that reach into later ones, each with its column
+    and the rows it has left. In a row, carried cells come before a cell that would take
+    their column; a wide cell is never torn, so one that it overlaps comes right behind
+    it. Cells that reach beyond the last row make rows of their own."""
+    nothing = F.array().cast(_PLACED)
+
+    def place(acc: Column, c: Column) -> Column:
+        out, rest = acc["out"], acc["rest"]
+        later = F.filter(F.transform(rest, lambda x, j: F.when(x["col"] > F.size(out) + j, j)), lambda j: j.isNotNull())
+        due = F.coalesce(F.get(later, 0), F.size(rest))
+        first = F.size(out) + due
+        own = F.transform(F.sequence(F.lit(0), c["wide"] - 1), lambda k: F.struct(c["text"].alias("text"), (first + k).alias("col"), (c["tall"] - 1).alias("left")))
+        return F.struct(F.concat(out, F.transform(F.slice(rest, 1, due), _aged), own).alias("out"), F.slice(rest, due + 1, F.size(rest)).alias("rest"))
+
+    def row(acc: Column, cells: Column) -> Column:
+        out = F.aggregate(cells, F.struct(nothing.alias("out"), acc["open"].alias("rest")), place, lambda x: F.concat(x["out"], F.transform(x["rest"], _aged)))
+        texts = F.transform(out, lambda x: x["text"])
+        return F.struct(F.concat(acc["grid"], F.array(texts)).alias("grid"), F.filter(out, lambda x: x["left"] > 0).alias("open"))
+
+    def below(acc: Column) -> Column:
+        most = F.array_max(F.transform(acc["open"], lambda x: x["left"]))
+        more = F.transform(F.sequence(F.lit(1), most), lambda k: F.transform(F.filter(acc["open"], lambda x: x["left"] >= k), lambda x: x["text"]))
+        return F.concat(acc["grid"], F.when(F.size(acc["open"]) > 0, more).otherwise(F.array().cast("array<array<string>>")))
+
+    return F.aggregate(rows, F.struct(F.array().cast("array<array<string>>").alias("grid"), nothing.alias("open")), row, below)
 
 
 def table_cells(table: Column) -> Column:
-    """Rows of cell texts; a cell over several columns stands in each of them."""
+    """Rows of cell texts; a cell over several columns or rows stands in each of them."""
     rows = find_all(table, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
 
-    def texts(cell: Column) -> Column:
-        span = F.regexp_extract(cell, r"(?is)^<t[dh]\b[^>]*\bcolspan\s*=\s*[\"']?\s*(\d{1,4})", 1).try_cast("int")
-        return F.array_repeat(plain(F.regexp_extract(cell, r"(?is)^<t[dh]\b[^>]*>(.*?)</t[dh]\s*>$", 1)), F.greatest(F.coalesce(span, F.lit(1)), F.lit(1)))
+    def span(cell: Column, name: str) -> Column:
+        n = F.regexp_extract(cell, rf"(?is)^<t[dh]\b[^>]*\b{name}\s*=\s*[\"']?\s*(\d{{1,4}})", 1).try_cast("int")
+        return F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias({"colspan": "wide", "rowspan": "tall"}[name])
+
+    def cell(c: Column) -> Column:
+        return F.struct(plain(F.regexp_extract(c, r"(?is)^<t[dh]\b[^>]*>(.*?)</t[dh]\s*>$", 1)).alias("text"), span(c, "colspan"), span(c, "rowspan"))
 
-    return F.transform(rows, lambda r: F.flatten(F.transform(find_all(r, r"(?is)<t[dh]\b[^>]*>.*?</t[dh]\s*>"), texts)))
+    cells = F.transform(rows, lambda r: F.transform(find_all(r, r"(?is)<t[dh]\b[^>]*>.*?</t[dh]\s*>"), cell))
+    flat = F.transform(cells, lambda r: F.flatten(F.transform(r, lambda c: F.array_repeat(c["text"], c["wide"]))))
+    tall = F.exists(cells, lambda r: F.exists(r, lambda c: c["tall"] > 1))
+    return F.when(tall, occupancy_grid(cells)).otherwise(flat)
 
 
 def body_rows(cells: Column) -> Column:
@@ -99,7 +158,7 @@ def interleave(pieces: Column, between: Column) -> Column:
 def visible_text(html: Column) -> Column:
     """Text nodes, trimmed, joined by blanks."""
     nodes = F.split(F.regexp_replace(html, r"<[^>]+>", CUT), CUT, -1)
-    nodes = F.transform(nodes, lambda n: trim_ws(replace_all(n, fixed.HTML_ENTITIES + fixed.CLEAN_ENTITIES[:6])))
+    nodes = F.transform(nodes, lambda n: trim_ws(entities(n)))
     text = F.array_join(F.filter(nodes, lambda n: n != ""), " ")
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 

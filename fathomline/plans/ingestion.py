@@ -102,6 +102,21 @@ def html_tables_markdown(spark, sf):
     return p.select("page_id", F.col("table_count").cast("long").alias("tables"), F.md5(F.array_join("tables", "\n")).alias("text_md5"))
 
 
+SPANNED = (
+    "<table><tr><th rowspan=2>Segment</th><th colspan='2'>2024 &amp; 2023</th></tr><tr><th>Q&#49;</th><th>Q&#x32;</th></tr>"
+    "<tr><td rowspan=\"3\">page ", "</td><td>&#36;391,035</td><td rowspan=2>&#8226; both</td></tr><tr><td colspan=2>wide</td></tr><tr><td>1</td><td>2</td></tr></table>")
+
+
+@query("html_table_grid", """WITH p AS (SELECT page_id, unnest([0, 1, 2, 3, 4]) AS r, 'page ' || page_id AS name FROM pages)
+  SELECT page_id, CAST(r AS INTEGER) AS row_index, CASE r WHEN 0 THEN 'Segment;2024 & 2023;2024 & 2023' WHEN 1 THEN 'Segment;Q1;Q2' WHEN 2 THEN name || ';$391,035;• both'
+    WHEN 3 THEN name || ';wide;wide;• both' ELSE name || ';1;2' END AS cells FROM p""")
+def html_table_grid(spark, sf):
+    """A table on each page whose cells span rows and columns, some across each other."""
+    i = F.col("page_id").cast("string")
+    pages = d.table(spark, sf, "pages").select("page_id", F.concat(F.lit(SPANNED[0]), i, F.lit(SPANNED[1])).alias("content"))
+    return g.table_rows(pages, "page_id").select("page_id", "row_index", F.array_join("cells", ";").alias("cells"))
+
+
 # --- text with pipe tables ---------------------------------------------------
 def mixed_text(spark, sf):
     """Documents with pipe tables, footnotes, headers and placeholders."""
