@@ -3,7 +3,11 @@
 Quality rules drop documents, the n-gram Jaccard join keeps one of each group, the
 substring dedup drops repeated passages from the texts that are left, and best-fit
 packing cuts and places what remains. All but the last return the columns of
-``documents``.
+``documents``, further ones included, whatever their names.
+
+Null and empty texts fail the base rule and go. Null ids count as larger than all others; rows
+that repeat an id are kept or dropped together by the near-duplicate stage and never remove
+each other's passages. Of equal documents the least id stays. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -34,8 +38,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows that earlier ones hold. Texts that lose words
     become the words left, joined by blanks; others stay as they are."""
-    left = substrings.without_repeats(docs.withColumn("whole", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("c_whole"))
+    whole = "whole"
+    while whole in docs.columns:
+        whole += "_"
+    left = substrings.without_repeats(docs.withColumn(whole, F.col("text")))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"`c_{whole}`"))
     values = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
     return left.select(*[values.get(c, F.col(f"`c_{c}`")).alias(c) for c in docs.columns])
 
