@@ -319,5 +319,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` that are the least of their component; rows that repeat an id stay together."""
-    kept = classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    name = "kept"
+    while name in docs.columns:
+        name += "_"
+    kept = classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(name)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi")

@@ -35,4 +35,18 @@ def test_stages(spark):
 
 
 def test_ten_operators_are_registered():
-    assert queries and [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == [f"op{i}" for i in range(1, 11)]
+    assert queries and [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_further_columns_keep_their_values(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text + f" end{i}" if i < 2 else None if i == 4 else f"other{i} " * 3, "mine", "kept", "k_", 7) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string, kept string, __kept string, n_words int")
+    one = corpus_pipeline.one_of_each(spark, docs, "")
+    assert sorted(r.doc_id for r in one.collect()) == [0, 2, 3, 4] and one.columns == docs.columns
+    left = corpus_pipeline.without_repeats(spark, docs, "")
+    got = {r.doc_id: r for r in left.collect()}
+    assert left.columns == docs.columns and {(r.whole, r.kept, r["__kept"], r.n_words) for r in got.values()} == {("mine", "kept", "k_", 7)}
+    assert got[1].text == "end1" and [got[i].text for i in (0, 2, 3, 4)] == [rows[i][1] for i in (0, 2, 3, 4)]
