@@ -252,12 +252,9 @@ def placeholder_alignment(spark, sf):
     return g.placeholder_alignment(d.placed_chunks(spark, sf), d.table_chunks(spark, sf))
 
 
-ORPHAN_REFS = REFS.replace("FROM text_chunks)", "FROM text_chunks WHERE doc_id % 7 < 3)")
-
-
-@query("orphan_tables", W(["text_chunks", "table_chunks"], """SELECT chunk_id, ticker, fiscal_year, source_file FROM table_chunks t WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE t.ticker = r.ticker AND t.fiscal_year = r.fiscal_year AND t.source_file = r.source_file AND t.table_index = r.n)""", ORPHAN_REFS))
+@query("orphan_tables", W(["text_chunks", "tables_with_spares"], """SELECT chunk_id, ticker, fiscal_year, source_file FROM tables_with_spares t WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE t.ticker = r.ticker AND t.fiscal_year = r.fiscal_year AND t.source_file = r.source_file AND t.table_index = r.n)""", REFS))
 def orphan_tables(spark, sf):
-    return g.orphan_tables(d.placed_chunks(spark, sf).where("doc_id % 7 < 3"), d.table_chunks(spark, sf))
+    return g.orphan_tables(d.placed_chunks(spark, sf), d.tables_with_spares(spark, sf))
 
 
 @query("table_size_stats", W(["table_chunks"], "SELECT count(*) AS tables, min(length(raw_text)) AS min_chars, max(length(raw_text)) AS max_chars, count(*) FILTER (length(raw_text) > 250) AS over_cap, median(length(raw_text))::DOUBLE AS median_chars FROM table_chunks"))

@@ -11,7 +11,6 @@ from ..session import shared_folder
 from ..sources import derived as d
 from .registry import query
 
-TICKERS = fixed.SUPPORTED_TICKERS
 
 
 def plans(spark, sf):
@@ -228,31 +227,36 @@ def hybrid_search(spark, sf):
         F.length("raw_text").cast("long").alias("chars"))
 
 
-ENTITY_PLANS = """ent AS (SELECT query_id * 3 + pos AS query_id, query, list_extract(['AAPL','MSFT','NVDA'], pos + 1) AS ticker, fiscal_year, section
-  FROM questions, (SELECT unnest([0, 1, 2])::BIGINT AS pos))"""
+def comparing_plans(spark, sf):
+    return hybrid.embedded(d.comparing(spark, sf), "query_id", "query", ["query", "tickers", "ticker", "fiscal_year", "section"])
 
 
-@query("hybrid_search_per_entity", with_q(f"""SELECT query_id, chunk_id, rank, rrf_score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rescued_table FROM (
+# one plan for each distinct company of a question, one of its own scope where it names none
+ENTITY_PLANS = f"""cmp AS (SELECT *, CASE WHEN len(tickers) = 0 THEN [ticker] ELSE list_filter(tickers, lambda t, i: list_position(tickers, t) = i) END AS companies FROM comparing),
+ent AS (SELECT query_id * {hybrid.STRIDE} + pos AS query_id, query, companies[pos + 1] AS ticker, fiscal_year, section FROM (SELECT *, unnest(range(len(companies))) AS pos FROM cmp))"""
+
+
+@query("hybrid_search_per_entity", d.sql_with(["corpus", "comparing"], f"""SELECT query_id, chunk_id, rank, rrf_score, round(dense_score, 6) AS dense_score, round(sparse_score, 6) AS sparse_score, rescued_table FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) AS rank FROM (
-      SELECT query_id // 3 AS query_id, chunk_id, max(round(rrf_score, 6)) AS rrf_score, max(dense_score) AS dense_score, max(sparse_score) AS sparse_score, bool_or(rescued_table) AS rescued_table
-      FROM hhits GROUP BY ALL)) WHERE rank <= 40""", ENTITY_PLANS + ",\n" + hybrid_cte("h", "ent", 13)))
+      SELECT h.query_id // {hybrid.STRIDE} AS query_id, chunk_id, max(round(rrf_score, 6)) AS rrf_score, max(dense_score) AS dense_score, max(sparse_score) AS sparse_score, bool_or(rescued_table) AS rescued_table
+      FROM hhits h JOIN cmp ON cmp.query_id = h.query_id // {hybrid.STRIDE} WHERE h.rank <= greatest(2, 40 // len(companies)) GROUP BY ALL)) WHERE rank <= 40""", ENTITY_PLANS + ",\n" + hybrid_cte("h", "ent", 40)))
 def hybrid_search_per_entity(spark, sf):
     c = d.corpus(spark, sf)
-    hits = hybrid.hybrid_per_entity(c, hybrid.corpus_vectors(c), embedded_plans(spark, sf), TICKERS)
+    hits = hybrid.hybrid_per_entity(c, hybrid.corpus_vectors(c), comparing_plans(spark, sf), "tickers")
     return hits.select("query_id", "chunk_id", "rank", "rrf_score", F.round("dense_score", 6).alias("dense_score"), F.round("sparse_score", 6).alias("sparse_score"), "rescued_table")
 
 
 def entity_hits(spark, sf, top_k=13):
     c = d.corpus(spark, sf)
-    per = hybrid.expand_entities(embedded_plans(spark, sf), TICKERS).drop("pos", "entity", "question")
+    per = hybrid.expand_entities(comparing_plans(spark, sf), "tickers").drop("pos", "entity", "question", "tickers")
     return hybrid.hybrid_search(c, hybrid.corpus_vectors(c), per, top_k=top_k)
 
 
-@query("balanced_retrieval", with_q("""SELECT question, chunk_id, ticker_pos, row_number() OVER (PARTITION BY question ORDER BY ticker_pos, rank) AS position FROM (
-    SELECT query_id // 3 AS question, chunk_id, CAST(query_id % 3 AS INTEGER) AS ticker_pos, rank, row_number() OVER (PARTITION BY query_id // 3, chunk_id ORDER BY query_id % 3, rank) AS r
+@query("balanced_retrieval", d.sql_with(["corpus", "comparing"], f"""SELECT question, chunk_id, ticker_pos, row_number() OVER (PARTITION BY question ORDER BY ticker_pos, rank) AS position FROM (
+    SELECT query_id // {hybrid.STRIDE} AS question, chunk_id, CAST(query_id % {hybrid.STRIDE} AS INTEGER) AS ticker_pos, rank, row_number() OVER (PARTITION BY query_id // {hybrid.STRIDE}, chunk_id ORDER BY query_id % {hybrid.STRIDE}, rank) AS r
     FROM hhits WHERE rank <= 3) WHERE r = 1""", ENTITY_PLANS + ",\n" + hybrid_cte("h", "ent", 13)))
 def balanced_retrieval(spark, sf):
-    return hybrid.balanced_retrieval(entity_hits(spark, sf), len(TICKERS), 3)
+    return hybrid.balanced_retrieval(entity_hits(spark, sf), hybrid.STRIDE, 3)
 
 
 # --- reranking and order -----------------------------------------------------

@@ -165,7 +165,11 @@ def segment_revenue(spark, sf):
     return v.segment_revenue(segment_notes(spark, sf).where(F.regexp_extract("raw_text", r"revenue: \$([\d,]{5,})", 1) != ""), BY)
 
 
-FLAGS = """pres AS (SELECT ticker, fiscal_year, bool_or(x) AS in_a, bool_or(y) AS in_b FROM (SELECT ticker, fiscal_year, TRUE AS x, FALSE AS y FROM {} UNION ALL SELECT ticker, fiscal_year, FALSE, TRUE FROM vector_store) GROUP BY ALL)"""
+COMPANIES = ", ".join(f"'{t}'" for t in fixed.SUPPORTED_TICKERS)
+# scope ALL: claims meet the evidence of every supported company, and ALL has what any of them has
+FLAGS = f"""pr0 AS (SELECT ticker, fiscal_year, bool_or(x) AS in_a, bool_or(y) AS in_b FROM (SELECT ticker, fiscal_year, TRUE AS x, FALSE AS y FROM {{}} UNION ALL SELECT ticker, fiscal_year, FALSE, TRUE FROM vector_store) GROUP BY ALL),
+pres AS (SELECT * FROM pr0 WHERE ticker <> 'ALL' UNION ALL SELECT 'ALL', fiscal_year, bool_or(in_a), bool_or(in_b) FROM pr0 WHERE ticker IN ({COMPANIES}) GROUP BY fiscal_year)"""
+EACH = f"ce AS (SELECT request_id, unnest(CASE WHEN ticker = 'ALL' THEN [{COMPANIES}] ELSE [ticker] END) AS ticker, fiscal_year, query, claim, claim_no, value FROM cl)"
 REFUSED = "(" + " OR ".join(f"contains(lower(answer), '{m}')" for m in fixed.AUDIT_REFUSALS) + " OR trim(answer) = '')"
 NAMED = "(contains(upper(answer), ticker) OR contains(upper(answer), CASE ticker WHEN 'AAPL' THEN 'APPLE' WHEN 'MSFT' THEN 'MICROSOFT' WHEN 'NVDA' THEN 'NVIDIA' END) IS TRUE)"
 
@@ -175,25 +179,25 @@ NAMED = "(contains(upper(answer), ticker) OR contains(upper(answer), CASE ticker
     WHEN ticker <> 'ALL' AND NOT {NAMED} THEN 'FAIL|Generation' WHEN claims = 0 THEN 'PARTIAL|Generation'
     WHEN supported / claims >= CASE WHEN ticker = 'ALL' THEN 0.5 ELSE 0.8 END THEN 'PASS|' WHEN supported / claims >= CASE WHEN ticker = 'ALL' THEN 0.3 ELSE 0.5 END THEN 'PARTIAL|Retrieval' ELSE 'FAIL|Retrieval' END AS c
     FROM (SELECT aa.*, {REFUSED} AS ref, coalesce(in_a, FALSE) AS ia, coalesce(in_b, FALSE) AS ib, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported FROM aa LEFT JOIN pres USING (ticker, fiscal_year)
-      LEFT JOIN (SELECT request_id, count(*) AS claims, count(*) FILTER (matched OR abs(value - dm) <= greatest(0.005 * greatest(abs(value), abs(dm)), 0.12)) AS supported FROM (
-        SELECT mt.*, CASE WHEN contains(lower(claim || ' ' || query), 'operating margin') THEN operating_margin WHEN contains(lower(claim || ' ' || query), 'gross margin') THEN gross_margin END AS dm FROM mt LEFT JOIN mg USING (ticker, fiscal_year)) GROUP BY request_id) USING (request_id)))""",
-    CLAIMS + ",\n" + MARGIN + ",\n" + EVID.replace("FROM corpus", "FROM st") + ",\n" + FLAGS.format("st")))
+      LEFT JOIN (SELECT request_id, count(*) AS claims, count(*) FILTER (ok) AS supported FROM (SELECT request_id, claim_no, bool_or(coalesce(matched OR abs(value - dm) <= greatest(0.005 * greatest(abs(value), abs(dm)), 0.12), FALSE)) AS ok FROM (
+        SELECT mt.*, CASE WHEN contains(lower(claim || ' ' || query), 'operating margin') THEN operating_margin WHEN contains(lower(claim || ' ' || query), 'gross margin') THEN gross_margin END AS dm FROM mt LEFT JOIN mg USING (ticker, fiscal_year)) GROUP BY ALL) GROUP BY request_id) USING (request_id)))""",
+    CLAIMS + ",\n" + EACH + ",\n" + MARGIN + ",\n" + EVID.replace("FROM corpus", "FROM st").replace("cl.", "ce.").replace("FROM cl)", "FROM ce)") + ",\n" + FLAGS.format("st")))
 def grounding_status(spark, sf):
-    return v.grounding_status(asked_answers(spark, sf), statements(spark, sf), d.vector_store(spark, sf), BY, companies=[])  # as its SQL: ALL is a scope of its own
+    return v.grounding_status(asked_answers(spark, sf), statements(spark, sf), d.vector_store(spark, sf), BY)
 
 
 @query("grounding_class", W(["answers", "corpus", "vector_store"], """SELECT request_id, CASE WHEN ref AND NOT ia AND NOT ib THEN 'CORRECT_REFUSAL' WHEN ref AND NOT ia THEN 'CONTEXT_ASSEMBLY_FAILURE' WHEN ref THEN 'RETRIEVAL_FAILURE'
     WHEN claims = 0 THEN 'PARTIALLY_GROUNDED' WHEN supported / claims >= 0.8 THEN 'FULLY_GROUNDED' WHEN supported > 0 THEN 'PARTIALLY_GROUNDED' ELSE 'UNGROUNDED' END AS label
     FROM (SELECT aa.*, contains(lower(answer), 'not available') OR answer = '' AS ref, coalesce(in_a, FALSE) AS ia, coalesce(in_b, FALSE) AS ib, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported FROM aa LEFT JOIN pres USING (ticker, fiscal_year)
       LEFT JOIN (SELECT request_id, count(*) AS claims, count(*) FILTER (ok) AS supported FROM (SELECT request_id, claim_no, bool_or(coalesce(f, FALSE)) AS ok FROM ct LEFT JOIN tf USING (ticker, fiscal_year, term) GROUP BY ALL) GROUP BY request_id) USING (request_id))""",
-    CLAIMS + r""",
-ct AS (SELECT request_id, ticker, fiscal_year, claim_no, unnest(list_filter(string_split_regex(replace(replace(lower(claim), '$', ''), ',', ''), '\s+'), lambda x: x <> '')[1:3]) AS term FROM cl),
+    CLAIMS + ",\n" + EACH + r""",
+ct AS (SELECT request_id, ticker, fiscal_year, claim_no, unnest(list_filter(string_split_regex(replace(replace(lower(claim), '$', ''), ',', ''), '\s+'), lambda x: x <> '')[1:3]) AS term FROM ce),
 dt AS (SELECT DISTINCT ticker, fiscal_year, term FROM ct),
 vo AS (SELECT DISTINCT ticker, fiscal_year, unnest(string_split_regex(lower(raw_text), '\s+')) AS word FROM corpus),
 tf AS (SELECT ticker, fiscal_year, term, EXISTS (SELECT 1 FROM vo WHERE vo.ticker = dt.ticker AND vo.fiscal_year = dt.fiscal_year AND contains(vo.word, dt.term)) AS f FROM dt),
 """ + FLAGS.format("corpus")))
 def grounding_class(spark, sf):
-    return v.grounding_class(asked_answers(spark, sf), d.corpus(spark, sf), d.vector_store(spark, sf), BY, companies=[])  # as its SQL
+    return v.grounding_class(asked_answers(spark, sf), d.corpus(spark, sf), d.vector_store(spark, sf), BY)
 
 
 @query("number_to_chunks", W(["answers", "table_chunks"], r"""SELECT number, chunk_id, min(place) AS "offset" FROM (SELECT chunk_id, replace(t, ',', '') AS number, instr(raw_text, t) - 1 AS place FROM (SELECT chunk_id, raw_text, unnest(regexp_extract_all(raw_text, '\d[\d,]*(?:\.\d+)?')) AS t FROM table_chunks))
