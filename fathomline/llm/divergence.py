@@ -201,10 +201,12 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     and the ``ranks`` terms that part a source most from its language (``term``)."""
     d = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
     found = d.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    # one deal by term serves both sums; the row without a term lists a language's groups
-    by_term = found.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).groupBy("lang", "term")
-    rows = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("row"))
-    rows = written(rows.where((F.col("docs") >= documents) | F.col("term").isNull()).select("lang", "term", "all", "row"), "rows")
+    # one deal by term serves both sums; the row without a term lists a language's groups. Terms come first in
+    # the keys, since a sort by them can tell most by their leading bytes; only rows that stay are put in order
+    by_term = found.repartition("lang", "term").groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).groupBy("term", "lang")
+    rows = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.collect_list(F.struct("source", "n")).alias("row"))
+    rows = rows.where((F.col("docs") >= documents) | F.col("term").isNull())
+    rows = written(rows.select("lang", "term", "all", F.sort_array("row").alias("row")), "rows")
     kept = rows.where("term IS NOT NULL")
     langs = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("all").alias("whole"))
     totals = kept.select("lang", F.inline("row")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
