@@ -216,8 +216,9 @@ def audited(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     # a term's row becomes its path: the shares of the sources that have it
     known = groups.groupBy("lang", "size", "whole").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "base")))).alias("of"))
-    item = lambda x: F.struct(x["source"].alias("source"), _share(x["n"], F.col("of")[x["source"]]["total"], F.col("size")).alias("share"), F.col("of")[x["source"]]["base"].alias("base"))
-    shares = kept.join(known, "lang").select("lang", "term", _share(F.col("all"), F.col("whole"), F.col("size")).alias("of_lang"), F.transform("row", item).alias("path"))
+    met = lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), F.col("of")[x["source"]].alias("group"))
+    item = lambda x: F.struct(x["source"].alias("source"), _share(x["n"], x["group"]["total"], F.col("size")).alias("share"), x["group"]["base"].alias("base"))
+    shares = kept.join(known, "lang").select("lang", "term", _share(F.col("all"), F.col("whole"), F.col("size")).alias("of_lang"), F.transform(F.transform("row", met), item).alias("path"))
     shares = written(shares, "shares")
     cells = shares.select("lang", "term", "of_lang", F.inline("path"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
