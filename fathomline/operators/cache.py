@@ -66,6 +66,8 @@ def lookup_exact(questions: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 BLOCK = 20_000
+#: questions of a block whose products with a block of entries a task holds at once
+ASKED = 256
 DECISION = T.StructType([
     T.StructField("query_id", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("best_key", T.StringType()),
     T.StructField("second", T.DoubleType()), T.StructField("second_key", T.StringType()),
@@ -89,10 +91,18 @@ def semantic_scores(questions: DataFrame, entries: DataFrame, scorer: Callable[[
     """Per question: best cosine among the entries of its namespace and, for the
     gray zone, the best second score among the entries at or above 0.60.
 
-    Namespaces are cut into blocks of bounded size; a cell multiplies one block
+    Entries without a vector take no part, nor do, where the column is there, those that
+    are not verified (``guardrail_passed``). With ``expires_at`` and the questions'
+    ``asked_at``, a question sees only entries that last beyond its time; without any it
+    has no row. Namespaces are cut into blocks of bounded size; a cell multiplies one block
     of questions with one of entries and returns one row per question."""
-    e, en = _blocks(entries.select("cache_ns", "cache_key", F.col("query").alias("cached"), F.col("embedding").alias("vec")), "cache_key")
-    q, qn = _blocks(questions.select("cache_ns", "query_id", F.col("query").alias("asked"), F.col("embedding").alias("asked_vec")), "query_id")
+    timed = "expires_at" in entries.columns and "asked_at" in questions.columns
+    if "guardrail_passed" in entries.columns:
+        entries = entries.where("guardrail_passed")
+    entries, questions = entries.where("embedding IS NOT NULL"), questions.where("embedding IS NOT NULL")
+    until, at = ([F.col("expires_at").alias("until")], [F.col("asked_at").alias("at")]) if timed else ([], [])
+    e, en = _blocks(entries.select("cache_ns", "cache_key", F.col("query").alias("cached"), F.col("embedding").alias("vec"), *until), "cache_key")
+    q, qn = _blocks(questions.select("cache_ns", "query_id", F.col("query").alias("asked"), F.col("embedding").alias("asked_vec"), *at), "query_id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     e = e.withColumnRenamed("own", "eb").join(qn, "cache_ns").select("*", spread("n").alias("qb")).drop("n")
     q = q.withColumnRenamed("own", "qb").join(en, "cache_ns").select("*", spread("n").alias("eb")).drop("n")
@@ -103,9 +113,16 @@ def semantic_scores(questions: DataFrame, entries: DataFrame, scorer: Callable[[
         if len(es) and len(qs):
             es = es.sort_values("cache_key", ignore_index=True)
             texts, keys = es["cached"].to_numpy(), es["cache_key"].to_numpy()
-            sims = np.stack(qs["asked_vec"].to_numpy()).astype("float64") @ np.stack(es["vec"].to_numpy()).astype("float64").T
+            vecs = np.stack(es["vec"].to_numpy()).astype("float64").T
             for i, (qid, text) in enumerate(zip(qs["query_id"], qs["asked"])):
-                s = sims[i].round(9)
+                if i % ASKED == 0:
+                    sims = np.stack(qs["asked_vec"].to_numpy()[i:i + ASKED]).astype("float64") @ vecs
+                s = sims[i % ASKED].round(9)
+                if timed:
+                    lasts = es["until"].to_numpy() > qs["at"].to_numpy()[i]
+                    if not lasts.any():
+                        continue
+                    s = np.where(lasts, s, -np.inf)
                 top = int(s.argmax())
                 second, key2 = None, None
                 gray = np.flatnonzero(s >= miss)
@@ -133,3 +150,16 @@ def lookup_semantic(questions: DataFrame, entries: DataFrame, scorer: Callable[[
     fast, slow = b >= fixed.CACHE_FAST_HIT, (b >= fixed.CACHE_FAST_MISS) & (s >= fixed.CACHE_SECOND_HIT)
     return j.select("query_id", F.when(fast, "fast").when(slow, "second").otherwise("miss").alias("tier"),
                     F.when(fast, F.col("b.k")).when(slow, F.col("s.k")).alias("cache_key"), F.when(F.col("b").isNotNull(), b).alias("best"))
+
+
+def lookup(questions: DataFrame, entries: DataFrame, scorer: Callable[[str, list[str]], list[float]] = overlap_scorer) -> DataFrame:
+    """What the cache serves: ``exact`` for the live entry of a question's own key, else the
+    semantic tiers over the live, verified entries of its namespace. A live entry of the own
+    key that is not verified is a miss without a further search.
+
+    ``questions``: query_id, query, ticker, fiscal_year, asked_at, embedding. ``entries``: one
+    row a key, with cache_ns, query, embedding, expires_at and guardrail_passed."""
+    e = entries.select("cache_key", F.col("expires_at").alias("_until"), F.coalesce("guardrail_passed", F.lit(False)).alias("_passed"))
+    met = with_key(questions).join(e, "cache_key", "left").withColumn("_own", F.coalesce(F.col("_until") > F.col("asked_at"), F.lit(False)))
+    own = met.where("_own").select("query_id", F.when(F.col("_passed"), "exact").otherwise("miss").alias("tier"), F.when(F.col("_passed"), F.col("cache_key")).alias("cache_key"), F.lit(None).cast("double").alias("best"))
+    return own.unionByName(lookup_semantic(met.where("NOT _own"), entries, scorer))

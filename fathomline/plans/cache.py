@@ -73,27 +73,62 @@ def cache_live_entries(spark, sf):
     return k.live(stored(spark, sf), F.lit("1998-01-01 00:30:00").cast("timestamp_ntz")).select("cache_key")
 
 
+def days(number: str):
+    return F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(cast({number} as int))")
+
+
 def vector_entries(spark, sf):
-    """Documents as cached questions in their filing's namespace."""
-    t = d.text_chunks(spark, sf).select("chunk_id", F.col("raw_text").alias("query"), F.when(F.col("doc_id") % 5 < 3, F.col("ticker")).alias("ticker"), F.when(F.col("doc_id") % 2 == 0, F.col("fiscal_year")).alias("fiscal_year"))
+    """Documents as cached questions in their filing's namespace; some have expired, some were never verified."""
+    t = d.text_chunks(spark, sf).select(
+        "chunk_id", F.col("raw_text").alias("query"), F.when(F.col("doc_id") % 5 < 3, F.col("ticker")).alias("ticker"), F.when(F.col("doc_id") % 2 == 0, F.col("fiscal_year")).alias("fiscal_year"),
+        days("doc_id % 13").alias("expires_at"), F.when(F.col("doc_id") % 11 != 5, F.col("doc_id") % 11 != 4).alias("guardrail_passed"))
     e = k.with_key(t.join(dense.hashed_tf(t, "chunk_id", "query"), "chunk_id"))
-    return e.withColumn("cache_key", F.col("chunk_id"))
+    return e.withColumn("cache_key", F.col("chunk_id")).drop("chunk_id")
 
 
 def vector_questions(spark, sf):
-    q = d.questions(spark, sf).select("query_id", "query", "ticker", "fiscal_year")
+    q = d.questions(spark, sf).select("query_id", "query", "ticker", "fiscal_year", days("query_id % 10").alias("asked_at"))
     return k.with_key(q.join(dense.hashed_tf(q, "query_id", "query"), "query_id"))
 
 
-@query("cache_lookup_semantic", W(["text_chunks", "questions"], f"""SELECT query_id, CASE WHEN b >= 0.96 THEN 'fast' WHEN b >= 0.6 AND s2 >= 0.75 THEN 'second' ELSE 'miss' END AS tier,
-    CASE WHEN b >= 0.96 THEN k1 WHEN b >= 0.6 AND s2 >= 0.75 THEN k2 END AS cache_key, round(b, 6) AS best FROM questions LEFT JOIN (
-    SELECT query_id, max(c) AS b, arg_min(chunk_id, {{'v': -c, 'k': chunk_id}}) AS k1, max(s) FILTER (c >= 0.6) AS s2, arg_min(chunk_id, {{'v': -s, 'k': chunk_id}}) FILTER (c >= 0.6) AS k2 FROM sc GROUP BY query_id) USING (query_id)""",
-    f"""ce AS (SELECT chunk_id, raw_text AS query, coalesce(CASE WHEN doc_id % 5 < 3 THEN ticker END, 'ANY') || ':' || coalesce(CASE WHEN doc_id % 2 = 0 THEN fiscal_year END, 'ANY') AS ns FROM text_chunks),
-cq AS (SELECT query_id, query, coalesce(ticker, 'ANY') || ':' || coalesce(fiscal_year, 'ANY') AS ns FROM questions),
+def cached_questions(spark, sf):
+    """Two of three questions as entries of their own key, in capitals; not all live or verified."""
+    q = vector_questions(spark, sf).where("query_id % 3 < 2").withColumns({
+        "query": F.upper("query"), "expires_at": days("query_id % 7"), "guardrail_passed": F.col("query_id") % 4 != 1})
+    return k.upsert_entries(q, "query_id").select("cache_key", "cache_ns", "query", "ticker", "fiscal_year", "embedding", "expires_at", "guardrail_passed")
+
+
+DAY = "TIMESTAMP '2024-01-01' + ({}) * INTERVAL 1 DAY"
+DOC_ENTRIES = f"""SELECT chunk_id, raw_text AS query, coalesce(CASE WHEN doc_id % 5 < 3 THEN ticker END, 'ANY') || ':' || coalesce(CASE WHEN doc_id % 2 = 0 THEN fiscal_year END, 'ANY') AS ns,
+  {DAY.format('doc_id % 13')} AS until, doc_id % 11 NOT IN (4, 5) AS ok FROM text_chunks"""
+ASKED = f"""cq AS (SELECT query_id, query, ns, asked, 'sem_cache:' || ns || ':' || substr(sha256(lower(trim(query))), 1, 16) AS key FROM (
+  SELECT query_id, query, coalesce(ticker, 'ANY') || ':' || coalesce(fiscal_year, 'ANY') AS ns, {DAY.format('query_id % 10')} AS asked FROM questions)),
+own AS (SELECT key, arg_max({{'query': upper(query), 'ns': ns, 'until': {DAY.format('query_id % 7')}, 'ok': query_id % 4 <> 1}}, query_id) AS x FROM cq WHERE query_id % 3 < 2 GROUP BY key)"""
+
+
+def semantic_cte(entries: str) -> str:
+    """Best entry and best second score of each question: sm(query_id, tier, cache_key, best)."""
+    return f"""{ASKED},
+ce AS ({entries}),
 {r.vec_cte('e', 'ce', 'chunk_id', 'query')}, {r.vec_cte('q', 'cq', 'query_id', 'query')},
-pr AS (SELECT query_id, chunk_id, list_distinct({r.TOK.format('cq.query')}) AS qt, list_distinct({r.TOK.format('ce.query')}) AS et FROM cq JOIN ce USING (ns) WHERE chunk_id IN (SELECT chunk_id FROM ev)),
+pr AS (SELECT query_id, chunk_id, list_distinct({r.TOK.format('cq.query')}) AS qt, list_distinct({r.TOK.format('ce.query')}) AS et FROM cq JOIN ce USING (ns) WHERE ok AND until > asked AND chunk_id IN (SELECT chunk_id FROM ev)),
 dt AS (SELECT query_id, chunk_id, sum(qv.x * ev.x) AS c FROM pr JOIN qv USING (query_id) JOIN ev USING (chunk_id, b) GROUP BY ALL),
-sc AS (SELECT query_id, chunk_id, round(coalesce(c, 0), 9) AS c, round(len(list_intersect(qt, et)) / len(qt), 9) AS s FROM pr LEFT JOIN dt USING (query_id, chunk_id))"""))
+sc AS (SELECT query_id, chunk_id, round(coalesce(c, 0), 9) AS c, round(len(list_intersect(qt, et)) / len(qt), 9) AS s FROM pr LEFT JOIN dt USING (query_id, chunk_id)),
+sm AS (SELECT query_id, CASE WHEN b >= 0.96 THEN 'fast' WHEN b >= 0.6 AND s2 >= 0.75 THEN 'second' ELSE 'miss' END AS tier,
+    CASE WHEN b >= 0.96 THEN k1 WHEN b >= 0.6 AND s2 >= 0.75 THEN k2 END AS cache_key, round(b, 6) AS best FROM questions LEFT JOIN (
+    SELECT query_id, max(c) AS b, arg_min(chunk_id, {{'v': -c, 'k': chunk_id}}) AS k1, max(s) FILTER (c >= 0.6) AS s2, arg_min(chunk_id, {{'v': -s, 'k': chunk_id}}) FILTER (c >= 0.6) AS k2 FROM sc GROUP BY query_id) USING (query_id))"""
+
+
+@query("cache_lookup_semantic", W(["text_chunks", "questions"], "SELECT * FROM sm", semantic_cte(DOC_ENTRIES)))
 def cache_lookup_semantic(spark, sf):
     out = k.lookup_semantic(vector_questions(spark, sf), vector_entries(spark, sf))
     return out.select("query_id", "tier", "cache_key", F.round("best", 6).alias("best"))
+
+
+@query("cache_lookup", W(["text_chunks", "questions"], """SELECT query_id, CASE WHEN x.until > asked THEN CASE WHEN x.ok THEN 'exact' ELSE 'miss' END ELSE tier END AS tier,
+    CASE WHEN x.until > asked THEN CASE WHEN x.ok THEN key END ELSE cache_key END AS cache_key, CASE WHEN x.until > asked THEN NULL ELSE best END AS best FROM cq LEFT JOIN own USING (key) JOIN sm USING (query_id)""",
+    semantic_cte(DOC_ENTRIES + " UNION ALL SELECT key, x.query, x.ns, x.until, x.ok FROM own")))
+def cache_lookup(spark, sf):
+    entries = vector_entries(spark, sf).unionByName(cached_questions(spark, sf))
+    out = k.lookup(vector_questions(spark, sf), entries)
+    return out.select("query_id", "tier", "cache_key", F.round("best", 6).alias("best"))
