@@ -95,12 +95,16 @@ def build(chunks: DataFrame, path: str, shard: int = SHARD) -> None:
     stored = spark.read.parquet(f"{path}/postings").where("block = 0").select("term", F.explode(F.arrays_zip("cells", "cell_df")).alias("x"))
     stored.groupBy(F.col("x.cells").alias("cell"), "term").agg(F.sum("x.cell_df").alias("df")).write.parquet(f"{path}/vocabulary")
     spark.read.parquet(f"{path}/chunks").groupBy("cell", *PARTS).agg(F.count("*").alias("n"), F.sum("len").cast("long").alias("len")).write.parquet(f"{path}/cells")
-    cells = spark.read.parquet(f"{path}/cells")
+    scope_statistics(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/vocabulary")).write.parquet(f"{path}/scopes")
+
+
+def scope_statistics(cells: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """scope, n_docs, avg_len and floor_idf of every filter that some chunk satisfies."""
     member = cells.select("cell", "n", "len", F.explode(F.array_distinct(scope_keys(*[F.col(p) for p in PARTS]))).alias("scope"))
     totals = member.groupBy("scope").agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avg_len"))
-    df = spark.read.parquet(f"{path}/vocabulary").join(member.select("cell", "scope"), "cell").groupBy("scope", "term").agg(F.sum("df").alias("df"))
+    df = vocabulary.join(member.select("cell", "scope"), "cell").groupBy("scope", "term").agg(F.sum("df").alias("df"))
     floor = df.join(totals, "scope").groupBy("scope").agg((F.avg(_idf()) * BM25_EPSILON).alias("floor_idf"))
-    totals.join(floor, "scope", "left").write.parquet(f"{path}/scopes")
+    return totals.join(floor, "scope", "left")
 
 
 def _idf() -> Column:

@@ -9,6 +9,8 @@ from ..functions.text import tokens
 from ..operators import dense, hybrid, postings, rerank, scopes, sparse
 from ..session import shared_folder
 from ..sources import derived as d
+from ..sources.snapshots import SnapshotStore
+from ..sources.termstats import IndexedChunks, TermStatistics
 from .registry import query
 
 
@@ -96,6 +98,27 @@ def bm25_index(spark, sf):
     return sparse.bm25_index(docs).withColumn("idf", F.round("idf", 6))
 
 
+CELL = "coalesce(source, '') AS source, coalesce(lang, '') AS lang"
+
+
+@query("term_statistics_upkeep", f"""SELECT {CELL}, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, source, lang, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL
+    UNION ALL SELECT {CELL}, NULL, count(*), coalesce(sum(len({TOK.format('text')})), 0)::BIGINT FROM documents GROUP BY ALL""")
+def term_statistics_upkeep(spark, sf):
+    """Documents arrive under another source and with their text twice, then as they are and once
+    more under a second id; the second ids are deleted. No batch counts more than it changes."""
+    root = shared_folder(spark, "statistics")
+    docs = d.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("ticker"), F.coalesce("lang", F.lit("")).alias("fiscal_year"), F.lit("").alias("section"), F.col("text").alias("raw_text"))
+    early = docs.withColumns({"ticker": F.lit("draft"), "raw_text": F.concat_ws(" ", "raw_text", "raw_text")})
+    twice = docs.withColumn("chunk_id", F.explode(F.array("chunk_id", F.concat("chunk_id", F.lit("#copy")))))
+    x = IndexedChunks(SnapshotStore(spark, f"{root}/chunks", ["chunk_id"]), TermStatistics(spark, f"{root}/terms"))
+    x.upsert(0, early)
+    x.upsert(1, twice)
+    x.delete(2, twice.where(F.col("chunk_id").endswith("#copy")), ["chunk_id"])
+    names = [F.col("ticker").alias("source"), F.col("fiscal_year").alias("lang")]
+    terms = x.statistics.terms().select(*names, "term", "df", "cf")
+    return terms.unionByName(x.statistics.cells().select(*names, F.lit(None).cast("string").alias("term"), F.col("n").alias("df"), F.col("len").alias("cf")))
+
+
 @query("bm25_search", with_q("SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM brank WHERE rank <= 40", bm25_cte("b", "corpus", "questions")))
 def bm25_search(spark, sf):
     return sparse.bm25_search(d.corpus(spark, sf), plans(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

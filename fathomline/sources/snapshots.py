@@ -17,33 +17,42 @@ from pyspark.sql import functions as F
 from ..operators.stores import upsert
 
 
-class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], bucket_by: list[str] | None = None, buckets: int = 32):
-        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
-        self.bucket_by = bucket_by or keys
+class Manifested:
+    """A folder whose current state is named by its newest numbered manifest."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # --- manifest (one entry per bucket, so its size is bounded) ---------------
     def _number(self) -> int:
         folder = self._path(f"{self.root}/manifest")
         if not self._fs.exists(folder):
             return 0
         return max((int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(folder)), default=0)
 
-    def manifest(self) -> dict[str, str]:
-        """Bucket -> version folder of the current state."""
+    def manifest(self) -> dict:
+        """The current state; empty before the first commit."""
         n = self._number()
         return {} if n == 0 else json.loads(self.spark.read.text(f"{self.root}/manifest/{n}.json", wholetext=True).first()[0])
 
-    def _commit(self, number: int, manifest: dict[str, str]) -> None:
+    def _commit(self, number: int, manifest: dict) -> None:
         out = self._fs.create(self._path(f"{self.root}/manifest/{number + 1}.json"), False)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
 
+
+class SnapshotStore(Manifested):
+    """The manifest maps a bucket to its version folder, so its size is bounded."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], bucket_by: list[str] | None = None, buckets: int = 32):
+        super().__init__(spark, root)
+        self.keys, self.buckets = keys, buckets
+        self.bucket_by = bucket_by or keys
+
     # --- rows ------------------------------------------------------------------
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int"))
@@ -58,6 +67,14 @@ class SnapshotStore:
     def read(self) -> DataFrame | None:
         return self._load(self.manifest())
 
+    def lookup(self, wanted: DataFrame, on: list[str] | None = None) -> DataFrame | None:
+        """Rows that match on the given columns (the keys); only the buckets
+        they can lie in are read."""
+        base, on = self.manifest(), on or self.keys
+        only = self._touched(wanted) if set(self.bucket_by) <= set(on) else None
+        now = self._load(base, only)
+        return None if now is None else now.join(wanted.select(*on).distinct(), on, "left_semi")
+
     def _publish(self, df: DataFrame, number: int, base: dict[str, str], touched: set[str] | None) -> int:
         version = f"v{uuid.uuid4().hex}"
         path = f"{self.root}/data/{version}"
