@@ -53,6 +53,36 @@ def perf_measures() -> list[Column]:
     ]
 
 
+#: size of a latency sketch: ranks are off by about 0.01 %
+SKETCH_K = 16_384
+
+
+def perf_parts() -> list[Column]:
+    """What ``perf_from_parts`` adds up: counts, sums and a latency sketch of some events."""
+    lat, status = F.col("total_latency_ms"), F.col("guardrail_status")
+    valid = valid_latency(lat)
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(status.isin("passed", "failed")).alias("eligible"), F.count_if(status == "passed").alias("passed"),
+        F.count(lat).alias("timed"), F.count(valid).alias("valid"), F.sum(valid.cast("double")).alias("latency"), F.count("ttft_ms").alias("firsts"),
+        F.sum(F.col("ttft_ms").cast("double")).alias("first"), F.count_if("cache_hit").alias("hits"), F.kll_sketch_agg_double(valid.cast("double"), SKETCH_K).alias("sketch"),
+    ]
+
+
+def perf_from_parts(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The metrics of ``perf_measures`` and three percentiles (null without a valid latency)."""
+    sums = ("n", "eligible", "passed", "timed", "valid", "latency", "firsts", "first", "hits")
+    t = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+    def mean(total: str, n: str) -> Column:
+        return F.round(F.coalesce(F.try_divide(total, n), F.lit(0.0)), 1)
+
+    quantiles = [F.when(F.col("valid") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(f"p{round(q * 100)}_latency_ms") for q in (0.5, 0.95, 0.99)]
+    return t.select(
+        *by, F.col("n").alias("total_queries"), F.col("eligible").alias("eligible_queries"), mean("latency", "valid").alias("avg_latency_ms"), mean("first", "firsts").alias("avg_ttft_ms"),
+        _pct(F.col("hits"), F.col("n")).alias("cache_hit_rate"), _pct(F.col("passed"), F.col("eligible")).alias("guardrail_pass_rate"),
+        (F.col("timed") - F.col("valid")).alias("latency_outliers_dropped"), *quantiles)
+
+
 def perf_summary(events: DataFrame, days: int | None = 30, by: list[str] | None = None) -> DataFrame:
     return recent_days(events, days).groupBy(*(by or [])).agg(*perf_measures())
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import derived as d
 from ..streaming import audit, cache_state, chunks
 from . import analytics as an
@@ -20,8 +21,12 @@ def stream(spark, sf, name):
 
 
 def event_stream(spark, sf):
+    return event_rows(stream(spark, sf, "events"))
+
+
+def event_rows(events):
     k = F.get_json_object("props", "$.k").cast("int")
-    return stream(spark, sf, "events").select(*d.audit_columns(k), F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC").alias("time"))
+    return events.select(*d.audit_columns(k), F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC").alias("time"))
 
 
 ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
@@ -44,22 +49,30 @@ def stream_audit_ingest(spark, sf):
 
 @query("stream_rate_windows", """SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id AS user_identifier, count(*) AS requests, count(*) > 10 AS violation FROM events GROUP BY time_bucket(INTERVAL 60 SECOND, ts), user_id""")
 def stream_rate_windows(spark, sf):
-    path = audit.run(audit.rate_windows(event_stream(spark, sf)), "rate", "update")
-    out = audit.newest(spark, path, ["start", "user_identifier"])
+    out = audit.rate_totals(spark, audit.run_rate_windows(event_stream(spark, sf)))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_identifier", "requests", "violation")
 
 
+@query("stream_rate_windows_unordered", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS user_identifier, count(*) AS requests, count(*) > 3 AS violation FROM events GROUP BY ALL""")
+def stream_rate_windows_unordered(spark, sf):
+    """Events in four files dealt by id, a batch each: most windows get rows after they close."""
+    path = shared_folder(spark, "unordered")
+    e = event_rows(d.table(spark, sf, "events")).repartition(4, F.col("request_id"))
+    e.write.parquet(path)
+    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = audit.rate_totals(spark, audit.run_rate_windows(arriving, "1 day"), 3)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_identifier", "requests", "violation")
+
+
 @query("stream_rate_windows_daily", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS user_identifier, count(*) AS requests, count(*) > 3 AS violation FROM events GROUP BY ALL""")
 def stream_rate_windows_daily(spark, sf):
-    path = audit.run(audit.rate_windows(event_stream(spark, sf), "1 day", 3), "rate-day", "update")
-    out = audit.newest(spark, path, ["start", "user_identifier"])
+    out = audit.rate_totals(spark, audit.run_rate_windows(event_stream(spark, sf), "1 day"), 3)
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_identifier", "requests", "violation")
 
 
 @query("stream_perf", W(["audit_events"], f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, {an.PERF} FROM audit_events GROUP BY date_trunc('day', ts)"))
 def stream_perf(spark, sf):
-    path = audit.run(audit.perf_windows(event_stream(spark, sf)), "perf", "update")
-    out = audit.newest(spark, path, ["start"])
+    out = audit.perf_totals(spark, audit.run_perf_windows(event_stream(spark, sf)))
     return out.withColumn("day", F.date_format("start", "yyyy-MM-dd")).drop("start", *an.PCT_COLS)
 
 
@@ -67,8 +80,7 @@ def stream_perf(spark, sf):
 def stream_dedupe_events(spark, sf):
     """Every event arrives three times and is kept once."""
     e = stream(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("time"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
-    path = audit.run(audit.dedupe(e, "event_id"), "dedupe")
-    return spark.read.parquet(path).select("event_id", "user_id")
+    return spark.read.parquet(audit.run_dedupe(e, "event_id")).select("event_id", "user_id")
 
 
 def cache_entries(spark, sf):
