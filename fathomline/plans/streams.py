@@ -15,9 +15,10 @@ W = d.sql_with
 
 
 def stream(spark, sf, name):
-    """A driver table as a file stream."""
+    """A driver table, one file or a folder of files, as a file stream. The pattern names
+    just the table; a filter on file names would miss the files of a folder."""
     schema = d.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def event_stream(spark, sf):
@@ -108,5 +109,8 @@ def stream_chunk_ingest(spark, sf):
     """Filings arrive as a stream and end in both stores."""
     pages = ing.filing_columns(stream(spark, sf, "pages")).select(F.concat(F.col("page_id").cast("string"), F.lit("/"), "path").alias("path"), "content")
     chunk_store, vector_store = chunks.ingest_stream(pages)
+    out = "path string, chunk_id string, chunk_type string, section string, token_count int, dims int"
+    if chunk_store.read() is None:  # no page gave a chunk
+        return spark.createDataFrame([], out)
     v = vector_store.read().select("path", "chunk_id", F.size("embedding").alias("dims"))
     return chunk_store.read().join(v, ["path", "chunk_id"], "left").select("path", "chunk_id", "chunk_type", "section", "token_count", "dims")
