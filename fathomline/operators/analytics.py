@@ -38,6 +38,26 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part * 100.0 / whole).otherwise(0.0), 1)
 
 
+#: of a value in an exact sum; others (not finite, or of 10^12 and more) are added up as doubles
+EXACT = "decimal(20,8)"
+
+
+def _exact(v: Column) -> Column:
+    return v.cast("double").try_cast(EXACT)
+
+
+def _mean(total: Column, exact: Column, n_exact: Column, n: Column) -> Column:
+    """total / n to one decimal, half up; 0 for n = 0. Where every value has a place in the exact
+    sum, halves are exact, so that the order in which rows are added decides nothing."""
+    tenths = F.call_function("div", F.abs(exact) * F.lit(20) + n, F.greatest(n, F.lit(1)) * F.lit(2))
+    plain = F.round(F.try_divide(total, n), 1)
+    return F.when(n == 0, 0.0).when(n_exact == n, F.signum(exact.cast("double")) * tenths / F.lit(10.0)).otherwise(plain)
+
+
+def _mean_of(v: Column) -> Column:
+    return _mean(F.sum(v.cast("double")), F.sum(_exact(v)), F.count(_exact(v)), F.count(v))
+
+
 def perf_measures() -> list[Column]:
     """The metrics of one group of events (batch and streaming share them)."""
     lat = F.col("total_latency_ms")
@@ -46,8 +66,7 @@ def perf_measures() -> list[Column]:
     n = F.count(F.lit(1))
     return [
         n.alias("total_queries"), eligible.alias("eligible_queries"),
-        F.round(F.coalesce(F.avg(valid_latency(lat)), F.lit(0.0)), 1).alias("avg_latency_ms"),
-        F.round(F.coalesce(F.avg("ttft_ms"), F.lit(0.0)), 1).alias("avg_ttft_ms"),
+        _mean_of(valid_latency(lat)).alias("avg_latency_ms"), _mean_of(F.col("ttft_ms")).alias("avg_ttft_ms"),
         _pct(F.count_if("cache_hit"), n).alias("cache_hit_rate"), _pct(passed, eligible).alias("guardrail_pass_rate"),
         (F.count(lat) - F.count(valid_latency(lat))).alias("latency_outliers_dropped"),
     ]
@@ -64,17 +83,19 @@ def perf_parts() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"), F.count_if(status.isin("passed", "failed")).alias("eligible"), F.count_if(status == "passed").alias("passed"),
         F.count(lat).alias("timed"), F.count(valid).alias("valid"), F.sum(valid.cast("double")).alias("latency"), F.count("ttft_ms").alias("firsts"),
-        F.sum(F.col("ttft_ms").cast("double")).alias("first"), F.count_if("cache_hit").alias("hits"), F.kll_sketch_agg_double(valid.cast("double"), SKETCH_K).alias("sketch"),
+        F.sum(F.col("ttft_ms").cast("double")).alias("first"), F.sum(_exact(valid)).alias("exact_latency"), F.count(_exact(valid)).alias("exact_valid"),
+        F.sum(_exact(F.col("ttft_ms"))).alias("exact_first"), F.count(_exact(F.col("ttft_ms"))).alias("exact_firsts"), F.count_if("cache_hit").alias("hits"), F.kll_sketch_agg_double(valid.cast("double"), SKETCH_K).alias("sketch"),
     ]
 
 
 def perf_from_parts(parts: DataFrame, by: list[str]) -> DataFrame:
     """The metrics of ``perf_measures`` and three percentiles (null without a valid latency)."""
-    sums = ("n", "eligible", "passed", "timed", "valid", "latency", "firsts", "first", "hits")
-    t = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    sums = ("n", "eligible", "passed", "timed", "valid", "latency", "firsts", "first", "exact_valid", "exact_firsts", "hits")
+    whole = [F.sum(c).cast("decimal(30,8)").alias(c) for c in ("exact_latency", "exact_first")]
+    t = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *whole, F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
 
     def mean(total: str, n: str) -> Column:
-        return F.round(F.coalesce(F.try_divide(total, n), F.lit(0.0)), 1)
+        return _mean(F.col(total), F.col(f"exact_{total}"), F.col(f"exact_{n}"), F.col(n))
 
     quantiles = [F.when(F.col("valid") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(f"p{round(q * 100)}_latency_ms") for q in (0.5, 0.95, 0.99)]
     return t.select(
