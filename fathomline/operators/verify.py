@@ -247,6 +247,8 @@ def grounding_status(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[st
 
 
 GRAMS = (1, 2, 3, 6)
+#: beginnings of terms up to which words are looked through for them
+TERM_STARTS = 4096
 
 
 def _anchor(term: Column) -> Column:
@@ -254,13 +256,30 @@ def _anchor(term: Column) -> Column:
     return F.when(n >= 6, F.substring(term, 1, 6)).when(n >= 3, F.substring(term, 1, 3)).otherwise(term)
 
 
+def _any_of(starts: list[str]) -> str:
+    """A pattern for any of some literal strings, grouped by their letters."""
+    import re
+
+    rests: dict[str, set[str]] = {}
+    for s in starts:
+        rests.setdefault(s[0], set()).add(s[1:])
+    return "|".join(re.escape(c) + ("" if "" in rest else f"(?:{_any_of(sorted(rest))})") for c, rest in sorted(rests.items()))
+
+
 def terms_in_text(terms: DataFrame, chunks: DataFrame, by: list[str], text: str = "raw_text") -> DataFrame:
     """Distinct (by, term) that occur as substring in any text of the scope.
 
     A term holds no blanks, so it lies inside one blank-separated word. Words
-    meet terms on the term's leading letters, never every word with every term."""
+    meet terms on the term's leading letters, never every word with every term. Scopes that
+    no term asks for, and words without the first three letters of any term, are left out before."""
     t = terms.select(*by, "term").distinct().withColumn("gram", _anchor(F.col("term")))
-    words = chunks.select(*by, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("word")).where("word <> ''").distinct()
+    asked = chunks.join(t.select(*by).distinct(), by, "left_semi")
+    words = asked.select(*by, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("word")).where("word <> ''")
+    starts = t.where("gram <> ''").select(F.substring("gram", 1, 3).alias("s")).distinct()
+    starts = [r.s for r in starts.limit(TERM_STARTS + 1).collect()]  # bounded; with more, all words stay
+    if starts and len(starts) <= TERM_STARTS:
+        words = words.where(F.col("word").rlike(_any_of(starts)))
+    words = words.distinct()
     at = lambda n: F.when(F.length("word") >= n, F.transform(
         F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     grams = words.select(*by, "word", F.explode(F.array_distinct(F.flatten(F.array(*[at(n) for n in GRAMS])))).alias("gram"))
