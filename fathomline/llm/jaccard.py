@@ -18,6 +18,7 @@ documents share do not bring them together.
    which expand to members and are verified by their sets. Links give components.
 4. Where a shingle or a group still joins several components, all pairs across
    components are verified too. No pair inside a component needs to be looked at.
+   A pair meets at its first shared shingles only, not at each of them.
 
 So each candidate pair is either verified or already connected, and components are
 those of all links. Pairs are verified in stars around one document, split so that
@@ -49,6 +50,8 @@ OFTEN = 0.0005
 #: shingles that a task counts at once; those seen three times among so many are reported
 COUNTED = 4_000_000
 STAR = 256
+#: shingles before its own that a row knows, so that two documents do not meet at every shingle they share
+RECENT = 8
 #: part of a set by which its prefix is longer than needed, in hundredths
 LONGER = 5
 LAST = (1 << 63) - 1
@@ -240,9 +243,29 @@ def _can_be_first() -> Column:
     others that they share lie behind it in both or were dropped before it. One document
     drops all common shingles that the other does, or the other way round, since both
     drop by the same order."""
+    return _enough_left(*[F.col(c) for c in ("place", "before", "place_m", "before_m")])
+
+
+def _enough_left(place: Column, before: Column, place_m: Column, before_m: Column) -> Column:
     n, m = F.col("n"), F.col("m")
-    most = F.greatest("before", "before_m") + F.least(n - F.col("place"), m - F.col("place_m"))
-    return most * (100 + PERCENT) >= (n + m) * PERCENT
+    return (F.greatest(before, before_m) + F.least(n - place, m - place_m)) * (100 + PERCENT) >= (n + m) * PERCENT
+
+
+def _met_before() -> Column:
+    """Whether the two have met already: at one of the last shingles before this one in
+    both, which could be the first as well. Of shingles in a row that join the same two,
+    only those too far apart to know of each other bring them together again."""
+    return F.exists("recent", lambda x: F.exists("recent_m", lambda y: (x["token"] == y["token"]) & _enough_left(x["place"], x["before"], y["place"], y["before"])))
+
+
+def meetings(spread: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle and may be alike; few pairs stand there more than once."""
+    open_ = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    behind = Window.partitionBy("gid", "rep", "n", "end").orderBy("place", "token").rowsBetween(-RECENT, -1)
+    across = spread.join(open_, "token", "left_semi").withColumn("recent", F.collect_list(F.struct("token", "place", "before")).over(behind)).drop("gid").withColumnRenamed("rep", "a")
+    other = across.select("token", F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"{c}_m") for c in ("end", "place", "before", "most", "recent")], F.col("component").alias("d"))
+    met = across.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits() & _can_be_first() & ~_met_before())
+    return met.select("a", "b")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -298,13 +321,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     # what is left: pairs across components
     labelled = members.join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("component"))
-    columns = ["token", "rep", "n", "end", "place", "before", "most", "component"]
-    spread = buckets.join(labelled, "gid").select(*columns)
-    open_ = spread.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    across = spread.join(open_, "token", "left_semi").withColumnRenamed("rep", "a")
-    other = across.select("token", F.col("a").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"{c}_m") for c in ("end", "place", "before", "most")], F.col("component").alias("d"))
-    met = across.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & _fits() & _can_be_first())
-    rest = met.select("a", "b").distinct()
+    rest = meetings(buckets.join(labelled, "gid").select("token", "gid", "rep", "n", "end", "place", "before", "most", "component")).distinct()
     # members of one group: its prefix and size say nothing more, so all across components
     many = labelled.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
     mixed = labelled.join(many, "gid", "left_semi").withColumnRenamed("rep", "a")

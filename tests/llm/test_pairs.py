@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from fathomline.llm import embeddings, jaccard
@@ -86,6 +87,23 @@ def test_classes_of_the_documents(spark):
     assert kept == {c for _, _, c in want}
 
 
+def test_copies_just_too_far_apart_meet_once_not_at_each_shingle(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(1500)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for _ in range(27):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "frequent", lambda docs: np.zeros(0, np.uint64))  # as among many documents
+    met, plain = [], jaccard.meetings
+    monkeypatch.setattr(jaccard, "meetings", lambda spread: met.append(plain(spread)) or met[0])
+    assert got_classes(spark.createDataFrame(rows, "doc_id long, text string")) == plain_classes(rows)
+    pairs = met[0].distinct().count()
+    assert pairs >= 200 and met[0].count() <= 2 * pairs
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 250)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
