@@ -1,54 +1,87 @@
-"""The answer cache as streaming state: last answer per key, with expiry."""
+"""The answer cache as streaming state: last answer per key, with expiry.
+
+Keys share the state of a bucket, which is read, changed and written as one table: a call
+into Python for each key, with the state store's answers in between, took most of the time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "ts timestamp, answer string, expires_ms bigint"
+STATE = "rows binary"
 OUT = "cache_key string, ts timestamp, answer string, expires_ms bigint, event string"
+FIELDS = ["cache_key", "ts", "answer", "expires_ms"]
+#: more of them keep a bucket small when there are very many live keys; fixed for a checkpoint
+BUCKETS = 1024
+
+
+def newest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The last row per key by time and answer; of equal ones the last in the table."""
+    return rows.sort_values(["ts", "answer"], kind="stable", na_position="first").drop_duplicates("cache_key", keep="last")
 
 
 class AnswerState(StatefulProcessor):
-    """Keeps the newest answer of a key; an event-time timer drops it when its
-    time to live is over and reports that."""
+    """Keeps the newest answer of each key of a bucket; an event-time timer drops those
+    whose time to live is over and reports that."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("answer", STATE)
+        self.value = handle.getValueState("answers", STATE)
+
+    def _held(self) -> pd.DataFrame | None:
+        return pa.ipc.open_stream(bytes(self.value.get()[0])).read_pandas() if self.value.exists() else None
+
+    def _keep(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            self.value.clear()
+            return
+        table = pa.Table.from_pandas(rows[FIELDS], preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.value.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(rows["expires_ms"].min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.value.get() if self.value.exists() else None
-        best = None
+        put = None
         for pdf in rows:
-            top = pdf.sort_values(["ts", "answer"]).iloc[-1]
-            if best is None or (top["ts"], top["answer"]) > (best["ts"], best["answer"]):
-                best = top
-        if best is None or (held is not None and (pd.Timestamp(held[0]), held[1]) >= (best["ts"], best["answer"])):
+            top = newest(pdf[FIELDS])
+            put = top if put is None else newest(pd.concat([put, top]))
+        if put is None or not len(put):
             return
-        expires = int(best["expires_ms"])
-        self.value.update((best["ts"].to_pydatetime(), best["answer"], expires))
-        self.handle.registerTimer(expires)
-        yield pd.DataFrame({"cache_key": [key[0]], "ts": [best["ts"]], "answer": [best["answer"]], "expires_ms": [expires], "event": ["put"]})
+        held = self._held()
+        now = put.assign(new=True)
+        if held is not None:  # behind the new ones, so that it stays where both are equal
+            now = newest(pd.concat([now, held.assign(new=False)]))
+        changed = now[now["new"].astype(bool)]
+        if len(changed):
+            self._keep(now)
+            yield changed[FIELDS].assign(event="put")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.value.get() if self.value.exists() else None
-        if held is not None and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.value.clear()
-            yield pd.DataFrame({"cache_key": [key[0]], "ts": [pd.Timestamp(held[0])], "answer": [held[1]], "expires_ms": [held[2]], "event": ["expired"]})
+        held = self._held()
+        if held is None:
+            return
+        over = held["expires_ms"] <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        if over.any():
+            self._keep(held[~over])
+            yield held[over][FIELDS].assign(event="expired")
+        else:  # the timer of a row that a newer one has replaced
+            self.handle.registerTimer(int(held["expires_ms"].min()))
 
     def close(self) -> None:
         pass
 
 
-def cache_changes(entries: DataFrame, late: str = "1 hour") -> DataFrame:
+def cache_changes(entries: DataFrame, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Stream of puts and expiries. ``entries``: cache_key, ts, answer, expires_ms."""
-    e = entries.withWatermark("ts", late)
-    return e.groupBy("cache_key").transformWithStateInPandas(AnswerState(), OUT, "Append", "EventTime")
+    e = entries.withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("int"))
+    return e.groupBy("bucket").transformWithStateInPandas(AnswerState(), OUT, "Append", "EventTime")
 
 
 def live_entries(changes: DataFrame) -> DataFrame:
