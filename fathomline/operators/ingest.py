@@ -222,15 +222,16 @@ def chunk_corpus(docs: DataFrame, text: str = "text_content", tables: str | None
         df = placeholder_sections(df, text, "_at")
         label = lambda i: F.coalesce(F.get(F.filter("_at", lambda s: s["table_index"] == i), 0)["section"], F.lit(fixed.GENERAL))
         own = F.concat(F.transform(tables, lambda t, i: F.struct(label(i).alias("section"), t.alias("t"))), own)
-    tabs = df.select(*keep, F.posexplode(own).alias("chunk_index", "p")).select(
-        *keep, "chunk_index", F.col("p.section").alias("section"), trim_ws(F.col("p.t")).alias("raw_text"), F.lit("table").alias("chunk_type")).where("raw_text <> ''")
+    entry = lambda i, section, text, kind: F.struct(i.alias("chunk_index"), section.alias("section"), text.alias("raw_text"), F.lit(kind).alias("chunk_type"))
+    listed = lambda x: F.coalesce(x, F.array()).cast("array<struct<chunk_index:int,section:string,raw_text:string,chunk_type:string>>")
+    df = df.withColumn("_tabs", F.transform(own, lambda p, i: entry(i, p["section"], trim_ws(p["t"]), "table")))
     remaining = F.array_join(F.filter(F.transform("_parts", lambda p: p["rest"]), lambda r: r.isNotNull()), "\n")
-    secs = df.withColumn("_secs", split_sections(remaining)).withColumn("_texts", F.transform("_secs", lambda x: x["text"]))
-    secs = bounded_chunks(secs, "_texts", "_chunks")
+    df = df.withColumn("_secs", split_sections(remaining)).withColumn("_texts", F.transform("_secs", lambda x: x["text"]))
+    df = bounded_chunks(df, "_texts", "_chunks")
     flat = F.flatten(F.zip_with("_secs", "_chunks", lambda x, c: F.transform(c, lambda t: F.struct(x["section"].alias("section"), t.alias("t")))))
-    texts = secs.select(*keep, F.posexplode(flat).alias("chunk_index", "p")).select(
-        *keep, "chunk_index", F.col("p.section").alias("section"), F.col("p.t").alias("raw_text"), F.lit("text").alias("chunk_type"))
-    both = tabs.unionByName(texts)
+    flat = F.transform(flat, lambda p, i: entry(i, p["section"], p["t"], "text"))
+    # one pass: two would parse and clean every filing twice
+    both = df.select(*keep, F.explode(F.concat(listed(F.col("_tabs")), listed(flat))).alias("p")).select(*keep, "p.*").where("chunk_type = 'text' OR raw_text <> ''")
     kind = F.when(F.col("chunk_type") == "table", "tbl").otherwise("txt")
     ids = {k: chunk_key(F.col("ticker"), F.col("fiscal_year"), k, F.col("source_file"), F.col("chunk_index")) for k in ("tbl", "txt")}
     return both.withColumns({

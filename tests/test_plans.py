@@ -33,3 +33,15 @@ def test_row_local_ingestion_does_not_shuffle(spark):
     docs = ingest.clean_financial_text(ingest.extract_metadata(ingest.parse_filings(files)), "text_content")
     chunks = ingest.chunk_corpus(docs.select("path", "ticker", "fiscal_year", "source_file", "tables", F.col("clean_text").alias("text_content")))
     assert "Exchange" not in plan(chunks)
+
+
+def test_filings_are_chunked_in_one_pass(spark):
+    from fathomline.operators import ingest
+
+    rows = [("p", "AAPL", "2021", "f", "alpha\n| a | b |\n| c | d |\nomega", ["| x |", None, " "]), ("q", "AAPL", "2021", "g", "only text", None)]
+    docs = spark.createDataFrame(rows, "path string, ticker string, fiscal_year string, source_file string, text_content string, tables array<string>")
+    out = ingest.chunk_corpus(docs)
+    got = sorted((r.path, r.chunk_type, r.chunk_index, r.raw_text) for r in out.collect())
+    assert got[:2] == [("p", "table", 0, "| x |"), ("p", "table", 3, "| a | b |\n| c | d |")] and got[-1] == ("q", "text", 0, "only text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Generate") == 1
