@@ -66,6 +66,8 @@ def lookup_exact(questions: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 BLOCK = 20_000
+#: bytes of texts and vectors that a block holds, so that long texts do not fill a task
+BLOCK_BYTES = 16 << 20
 #: questions of a block whose products with a block of entries a task holds at once
 ASKED = 256
 DECISION = T.StructType([
@@ -80,10 +82,12 @@ def overlap_scorer(query: str, texts: list[str]) -> list[float]:
     return [len(q & set(re.findall(fixed.TOKEN_PATTERN, t.lower()))) / len(q) if q else 0.0 for t in texts]
 
 
-def _blocks(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def _blocks(df: DataFrame, key: str, text: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a block number, and the number of blocks per namespace, so
-    that no namespace gathers in one task."""
-    n = df.groupBy("cache_ns").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    that no namespace gathers in one task. Rows and bytes of a block are bounded."""
+    held = F.coalesce(F.octet_length(text), F.lit(0)) + 8 * F.size(vector)
+    parts = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(held) / BLOCK_BYTES)
+    n = df.groupBy("cache_ns").agg(F.ceil(parts).cast("int").alias("n"))
     return df.join(n, "cache_ns").withColumn("own", F.pmod(F.xxhash64(key), F.col("n")).cast("int")).drop("n"), n
 
 
@@ -101,8 +105,8 @@ def semantic_scores(questions: DataFrame, entries: DataFrame, scorer: Callable[[
         entries = entries.where("guardrail_passed")
     entries, questions = entries.where("embedding IS NOT NULL"), questions.where("embedding IS NOT NULL")
     until, at = ([F.col("expires_at").alias("until")], [F.col("asked_at").alias("at")]) if timed else ([], [])
-    e, en = _blocks(entries.select("cache_ns", "cache_key", F.col("query").alias("cached"), F.col("embedding").alias("vec"), *until), "cache_key")
-    q, qn = _blocks(questions.select("cache_ns", "query_id", F.col("query").alias("asked"), F.col("embedding").alias("asked_vec"), *at), "query_id")
+    e, en = _blocks(entries.select("cache_ns", "cache_key", F.col("query").alias("cached"), F.col("embedding").alias("vec"), *until), "cache_key", "cached", "vec")
+    q, qn = _blocks(questions.select("cache_ns", "query_id", F.col("query").alias("asked"), F.col("embedding").alias("asked_vec"), *at), "query_id", "asked", "asked_vec")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     e = e.withColumnRenamed("own", "eb").join(qn, "cache_ns").select("*", spread("n").alias("qb")).drop("n")
     q = q.withColumnRenamed("own", "qb").join(en, "cache_ns").select("*", spread("n").alias("eb")).drop("n")

@@ -28,3 +28,20 @@ def test_lookup(spark):
     got = {r.query_id: (r.tier, r.cache_key) for r in cache.lookup(q, e).collect()}
     # 3 and 4: near the only live, verified entry; 2: the own entry is there, but not verified
     assert got == {1: ("exact", first), 2: ("miss", None), 3: ("fast", first), 4: ("second", first), 5: ("miss", None), 6: ("miss", None), 7: ("miss", None), 8: ("miss", None)}
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    t = spark.range(60).select(F.col("id").alias("query_id"), F.concat(F.lit("words of text "), F.repeat(F.lit("a b "), F.col("id").cast("int")), F.col("id").cast("string")).alias("query"), F.lit("n").alias("cache_ns"))
+    t = t.join(dense.hashed_tf(t, "query_id", "query"), "query_id").persist()
+    e = t.withColumn("cache_key", F.format_string("k%03d", "query_id"))
+    q = spark.createDataFrame(t.collect(), t.schema)
+    found = lambda: sorted(map(tuple, cache.lookup_semantic(q, e).collect()))
+    want = found()
+    monkeypatch.setattr(cache, "BLOCK_BYTES", 8000)
+    held, n = cache._blocks(e, "cache_key", "query", "embedding")
+    size = F.octet_length("query") + 8 * F.size("embedding")
+    parts = -(-e.agg(F.sum(size)).first()[0] // 8000)
+    assert n.first()["n"] == parts > 3 and held.select("own").distinct().count() > 3
+    assert found() == want
