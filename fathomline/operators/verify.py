@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.numbers import close_to, drop_zeros, normalize_number, number_tokens, numeric_values
-from ..functions.text import any_of, find_all, first_match, trim_ws
+from ..functions.text import find_all, first_match, trim_ws
+from ..session import stored
 
 ANSWER_SCHEMA = "internal_thought string, extracted_raw_data string, answer string, sources array<string>, content string"
 
@@ -37,7 +38,8 @@ def json_or_null(t: Column) -> Column:
 
 
 def is_refusal(text: Column, markers: list[str] = fixed.REFUSAL_MARKERS) -> Column:
-    return F.coalesce(any_of(F.lower(text), markers), F.lit(False))
+    low = F.lower(text)  # literal searches: an alternation would try every marker at every letter
+    return F.coalesce(reduce(lambda x, y: x | y, [F.contains(low, F.lit(m)) for m in markers]), F.lit(False))
 
 
 def _unescape(t: Column) -> Column:
@@ -141,24 +143,38 @@ def evidence_numbers(chunks: DataFrame, by: list[str], text: str = "raw_text") -
     return v.groupBy(*by, _bucket(F.col("v")).alias("bucket")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def claims_vs_evidence(claims: DataFrame, evidence: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+def near_figures(evidence: DataFrame, by: list[str]) -> DataFrame:
+    """For each bucket the ``figures`` that can be close to a value in it, those of five buckets: ten at most."""
+    near = evidence.select(*by, F.explode(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2)).alias("bucket"), F.array("lo", "hi").alias("x"))
+    return near.groupBy(*by, "bucket").agg(F.flatten(F.collect_list("x")).alias("figures"))
+
+
+def claims_vs_evidence(claims: DataFrame, evidence: DataFrame, by: list[str], key: list[str] | None = None) -> DataFrame:
     """Claims with ``matched``: a figure of the scope within the tolerance. Each
-    claim probes five buckets, each holding one row."""
-    probes = claims.where(F.col("value").isNotNull()).select(
-        *key, *by, "value", F.explode(F.sequence(_bucket(F.col("value")) - 2, _bucket(F.col("value")) + 2)).alias("bucket"))
-    hit = probes.join(evidence, [*by, "bucket"]).where(close_to(F.col("value"), F.col("lo")) | close_to(F.col("value"), F.col("hi")))
-    hit = hit.select(*key).distinct().withColumn("_hit", F.lit(True))
-    return claims.join(hit, key, "left").withColumn("matched", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    claim meets one row, that of its bucket, so that no ``key`` is needed to bring them together again; the evidence, which is small beside the claims, is
+    written first, so that its size is known when the join is planned."""
+    near = stored(near_figures(evidence, by), "evidence").withColumnRenamed("bucket", "_bucket")
+    met = claims.withColumn("_bucket", _bucket(F.col("value"))).join(near, [*by, "_bucket"], "left")
+    matched = F.coalesce(F.exists("figures", lambda x: close_to(F.col("value"), x)), F.lit(False))
+    return met.select(*claims.columns, matched.alias("matched"))
 
 
 def derived_margin(chunks: DataFrame, by: list[str], order: str = "chunk_id", text: str = "raw_text") -> DataFrame:
     """Operating and gross margin per scope from its first revenue and first
     income or gross figure in document order."""
-    def first(pattern: str) -> Column:
-        v = F.replace(first_match(F.col(text), "(?i)" + pattern), F.lit(","), F.lit("")).try_cast("double")
-        return F.min_by(v, F.when(v.isNotNull(), F.col(order)))
-
-    f = chunks.groupBy(*by).agg(first(fixed.REVENUE_FIGURE).alias("revenue"), first(fixed.OPERATING_FIGURE).alias("operating"), first(fixed.GROSS_FIGURE).alias("gross"))
+    def figure(pattern: str) -> Column:
+        return F.replace(first_match(F.col(text), "(?i)" + pattern), F.lit(","), F.lit("")).try_cast("double")
+
+    def first(name: str) -> Column:
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name)
+
+    # figures are taken out of the texts that name one, before rows are sorted by scope; all scopes stay
+    patterns = {"revenue": fixed.REVENUE_FIGURE, "operating": fixed.OPERATING_FIGURE, "gross": fixed.GROSS_FIGURE}
+    low = F.lower(text)
+    named = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in fixed.MARGIN_WORDS])
+    scopes = chunks.select(*by).distinct().select(*by, F.lit(None).cast("string").alias(order), *[F.lit(None).cast("double").alias(n) for n in patterns])
+    found = chunks.where(named).select(*by, F.col(order).cast("string").alias(order), *[figure(p).alias(n) for n, p in patterns.items()])
+    f = found.unionByName(scopes).groupBy(*by).agg(*[first(n) for n in patterns])
     pct = lambda c: F.when((F.col("revenue") != 0) & (F.col(c) != 0), F.col(c) / F.col("revenue") * 100)
     return f.select(*by, pct("operating").alias("operating_margin"), pct("gross").alias("gross_margin"))
 
@@ -215,6 +231,7 @@ def presence_flags(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[str]
         rest = [c for c in by if c != "ticker"]
         every = per.where(F.col("ticker").isin(companies)).groupBy(*rest).agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b")).withColumn("ticker", F.lit("ALL"))
         per = per.where("ticker <> 'ALL'").unionByName(every)
+    per = stored(per, "presence")  # a few rows: known as such when the join is planned
     return answers.join(per, by, "left").withColumns({"in_a": F.coalesce("in_a", F.lit(False)), "in_b": F.coalesce("in_b", F.lit(False))})
 
 
@@ -224,23 +241,29 @@ def grounding_status(answers: DataFrame, a: DataFrame, b: DataFrame, by: list[st
     ``answers``: request_id, answer, query and ``by`` (ticker, fiscal_year). Scope ALL is
     checked against all ``companies``; a claim needs the figures of one of them."""
     texts = a if evidence_text is None else evidence_text
-    claims = each_company(claim_rows(answers, ["request_id", *by, "query"]), companies)
-    matched = claims_vs_evidence(claims, evidence_numbers(texts, by), by, ["request_id", "claim_no"])
-    margin = derived_margin(texts, by)
-    words = F.lower(F.concat_ws(" ", "claim", "query"))
-    m = matched.join(margin, by, "left")
-    derived = F.when(F.contains(words, F.lit("operating margin")), F.col("operating_margin")).when(F.contains(words, F.lit("gross margin")), F.col("gross_margin"))
+    # all that answers say, without their texts: read again for claims and answers, and all that is shuffled
+    words = lambda c: F.lower(F.concat_ws(" ", c, F.col("query")))
+    margin_of = lambda c: F.when(F.contains(words(c), F.lit("operating margin")), "operating").when(F.contains(words(c), F.lit("gross margin")), "gross")
+    said = answers.select(
+        "request_id", *by, (is_refusal(F.col("answer"), fixed.AUDIT_REFUSALS) | (F.trim("answer") == "")).alias("refused"), mentions_ticker(F.col("answer"), F.col("ticker")).alias("named"),
+        F.transform(financial_claims(F.col("answer")), lambda c: F.struct(F.get(numeric_values(c), 0).alias("value"), margin_of(c).alias("margin"))).alias("said"))
+    said = stored(said, "claims")
+    claims = said.select("request_id", *by, F.posexplode("said").alias("claim_no", "c")).select("request_id", *by, "claim_no", "c.value", "c.margin")
+    matched = claims_vs_evidence(each_company(claims, companies), evidence_numbers(texts, by), by)
+    m = matched.join(stored(derived_margin(texts, by), "margins"), by, "left")
+    derived = F.when(F.col("margin") == "operating", F.col("operating_margin")).when(F.col("margin") == "gross", F.col("gross_margin"))
     ok = F.col("matched") | F.coalesce(close_to(F.col("value"), derived), F.lit(False))
-    claim = m.groupBy("request_id", "claim_no").agg(F.bool_or(ok).alias("ok"))
+    # one shuffle for both groupings
+    claim = m.select("request_id", "claim_no", ok.alias("ok")).repartition("request_id").groupBy("request_id", "claim_no").agg(F.bool_or("ok").alias("ok"))
     per = claim.groupBy("request_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("ok").alias("supported"))
-    j = presence_flags(answers, a, b, by, companies).join(per, "request_id", "left")
-    refused = is_refusal(F.col("answer"), fixed.AUDIT_REFUSALS) | (F.trim("answer") == "")
+    j = presence_flags(said.drop("said"), a, b, by, companies).join(per, "request_id", "left")
+    refused = F.col("refused")
     everything = F.col("ticker") == "ALL"
     ratio = F.col("supported") / F.col("claims")
     hi, lo = F.when(everything, 0.5).otherwise(0.8), F.when(everything, 0.3).otherwise(0.5)
     case = (F.when(refused & ~F.col("in_a") & ~F.col("in_b"), "PASS|")
             .when(refused & F.col("in_a") & ~F.col("in_b"), "FAIL|Vector Retrieval").when(refused & ~F.col("in_a"), "FAIL|Context Assembly").when(refused, "FAIL|Generation")
-            .when(~everything & ~mentions_ticker(F.col("answer"), F.col("ticker")), "FAIL|Generation").when(F.col("claims").isNull(), "PARTIAL|Generation")
+            .when(~everything & ~F.col("named"), "FAIL|Generation").when(F.col("claims").isNull(), "PARTIAL|Generation")
             .when(ratio >= hi, "PASS|").when(ratio >= lo, "PARTIAL|Retrieval").otherwise("FAIL|Retrieval"))
     return j.select("request_id", F.split(case, r"\|")[0].alias("status"), F.split(case, r"\|")[1].alias("layer"),
                     F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("supported", F.lit(0)).alias("supported"))

@@ -119,7 +119,7 @@ mt AS (SELECT *, value IS NOT NULL AND EXISTS (SELECT 1 FROM ev WHERE ev.ticker
 @query("claims_vs_evidence", W(["answers", "corpus"], "SELECT request_id, CAST(claim_no AS INTEGER) AS claim_no, matched FROM mt", CLAIMS + ",\n" + EVID))
 def claims_vs_evidence(spark, sf):
     claims = v.claim_rows(asked_answers(spark, sf), ["request_id", *BY])
-    out = v.claims_vs_evidence(claims, v.evidence_numbers(d.corpus(spark, sf), BY), BY, ["request_id", "claim_no"])
+    out = v.claims_vs_evidence(claims, v.evidence_numbers(d.corpus(spark, sf), BY), BY)
     return out.select("request_id", "claim_no", "matched")
 
 
