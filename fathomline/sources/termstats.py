@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import BM25_EPSILON
-from ..functions.text import tokens
+from ..functions.termcounts import count_terms
 from ..operators.postings import scope_statistics
 from ..operators.scopes import PARTS, cell
 from .snapshots import Manifested, SnapshotStore
@@ -29,10 +29,6 @@ KEYS = [*PARTS, "term"]
 COLUMNS = "ticker string, fiscal_year string, section string, term string, df long, cf long"
 
 
-def _entry(term: Column, df: Column, cf: Column) -> Column:
-    return F.struct(term.alias("term"), df.cast("long").alias("df"), cf.cast("long").alias("cf"))
-
-
 def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 OR cf <> 0")
 
@@ -41,13 +37,7 @@ def signed_counts(rows: DataFrame) -> DataFrame:
     """Rows (PARTS, raw_text, sign) -> PARTS, term, df, cf. The row without a term counts
     the chunks (df) and tokens (cf) of its cell. Null parts are '', null texts empty."""
     parts = [F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in PARTS]
-    listed = rows.select(*parts, "sign", F.coalesce(tokens(F.col("raw_text")), F.array().cast("array<string>")).alias("t"))
-    one, none = F.lit(1), F.lit(0)
-    entries = F.concat(
-        F.transform("t", lambda t: _entry(t, none, one)), F.transform(F.array_distinct("t"), lambda t: _entry(t, one, none)),
-        F.array(_entry(F.lit(None).cast("string"), one, F.size("t"))))
-    x = listed.select(*PARTS, "sign", F.explode(entries).alias("x"))
-    return _summed(x.select(*PARTS, "x.term", (F.col("x.df") * F.col("sign")).alias("df"), (F.col("x.cf") * F.col("sign")).alias("cf")))
+    return _summed(rows.select(*parts, "sign", F.concat(F.lower("raw_text"), F.lit(" ")).alias("t")).mapInArrow(count_terms, COLUMNS))
 
 
 class TermStatistics(Manifested):
