@@ -1,7 +1,8 @@
 """Term statistics that follow a chunk store by signed changes.
 
 A changed chunk gives -1 for each count it had and +1 for each it has now, so an upsert
-or a delete reads the chunks it touches and never the corpus. The sums of a batch form one
+or a delete reads the chunks it touches and never the corpus; a cell left without chunks
+loses the counts it has, and the texts it held are not counted again. The sums of a batch form one
 change folder; the statistics are the sums over all folders. Folders are merged so that each
 holds at least ``GROWTH`` times the rows of the next: their number grows with the logarithm of
 the vocabulary, and a count is rewritten as seldom.
@@ -22,10 +23,12 @@ from ..fixed import BM25_EPSILON
 from ..functions.termcounts import count_terms
 from ..operators.postings import scope_statistics
 from ..operators.scopes import PARTS, cell
+from ..session import stored
 from .snapshots import Manifested, SnapshotStore
 
 GROWTH = 2
 KEYS = [*PARTS, "term"]
+FIELDS = (*PARTS, "raw_text")
 COLUMNS = "ticker string, fiscal_year string, section string, term string, df long, cf long"
 
 
@@ -33,11 +36,19 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df <> 0 OR cf <> 0")
 
 
+def _parts() -> list[Column]:
+    return [F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in PARTS]
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Counts that still have to be added up."""
+    return rows.select(*_parts(), "sign", F.concat(F.lower("raw_text"), F.lit(" ")).alias("t")).mapInArrow(count_terms, COLUMNS)
+
+
 def signed_counts(rows: DataFrame) -> DataFrame:
     """Rows (PARTS, raw_text, sign) -> PARTS, term, df, cf. The row without a term counts
     the chunks (df) and tokens (cf) of its cell. Null parts are '', null texts empty."""
-    parts = [F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in PARTS]
-    return _summed(rows.select(*parts, "sign", F.concat(F.lower("raw_text"), F.lit(" ")).alias("t")).mapInArrow(count_terms, COLUMNS))
+    return _summed(_counted(rows))
 
 
 class TermStatistics(Manifested):
@@ -93,6 +104,23 @@ class TermStatistics(Manifested):
         rows = self._read(folders).where(F.col("kind") == kind).drop("kind")
         return _summed(rows) if len(folders) > 1 else rows
 
+    def emptied(self, moves: DataFrame) -> DataFrame | None:
+        """Cells (PARTS) without a chunk after rows (PARTS, sign) came and went; None if there are none."""
+        if not self.manifest()["folders"]:
+            return None
+        n = self.cells().select(*PARTS, "n").unionByName(moves.select(*_parts(), F.col("sign").cast("long").alias("n")))
+        found = stored(n.groupBy(*PARTS).agg(F.sum("n").alias("n")).where("n = 0").select(*PARTS), "emptied")
+        return None if found.isEmpty() else found
+
+    def change(self, rows: DataFrame, emptied: DataFrame | None) -> DataFrame:
+        """Signed counts of rows (PARTS, raw_text, sign). What ``emptied`` cells lose are the counts
+        they have, so their texts are not read for it."""
+        if emptied is None:
+            return signed_counts(rows)
+        kept = rows.select(*_parts(), "raw_text", "sign").join(emptied, list(PARTS), "left_anti")
+        lost = self._read(self.manifest()["folders"]).join(emptied, list(PARTS), "left_semi")
+        return _summed(_counted(kept).unionByName(lost.select(*KEYS, (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"))))
+
     def cells(self) -> DataFrame:
         """cell, PARTS, n (chunks) and len (tokens)."""
         rows = self._kind("cells")
@@ -124,30 +152,40 @@ class IndexedChunks:
     def __init__(self, store: SnapshotStore, statistics: TermStatistics):
         self.store, self.statistics = store, statistics
 
-    def _rows(self, df: DataFrame) -> Column:
-        return F.struct(*[(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in (*PARTS, "raw_text")])
+    def _rows(self, df: DataFrame, fields: tuple) -> Column:
+        return F.struct(*[(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(c) for c in fields])
 
-    def _replaced(self, incoming: DataFrame) -> DataFrame:
-        """Old rows with -1 and new ones with +1 where an upsert changes a cell or text.
+    def _signed(self, incoming: DataFrame, now: DataFrame | None, fields: tuple) -> DataFrame:
+        """Old rows with -1 and new ones with +1 where an upsert changes one of the fields.
         As in the store, fields that come empty keep their value."""
         keys = self.store.keys
-        new = incoming.select(*keys, self._rows(incoming).alias("new"))
-        now = self.store.lookup(incoming)
+        new = incoming.select(*keys, self._rows(incoming, fields).alias("new"))
         if now is None:
             return new.select("new.*", F.lit(1).alias("sign"))
-        both = new.join(now.select(*keys, self._rows(now).alias("old")), keys, "left")
-        after = F.struct(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in (*PARTS, "raw_text")])
+        both = new.join(now.select(*keys, self._rows(now, fields).alias("old")), keys, "left")
+        after = F.struct(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in fields])
         both = both.select("old", after.alias("after")).where(~F.col("old").eqNullSafe(F.col("after")))
         pairs = F.array(F.struct(F.col("old").alias("r"), F.lit(-1).alias("sign")), F.struct(F.col("after").alias("r"), F.lit(1).alias("sign")))
         return both.select(F.explode(pairs).alias("p")).where("p.r IS NOT NULL").select("p.r.*", "p.sign")
 
+    def _replaced(self, incoming: DataFrame) -> DataFrame:
+        now = self.store.lookup(incoming)
+        emptied = None if now is None else self.statistics.emptied(self._signed(incoming, now, PARTS))
+        return self.statistics.change(self._signed(incoming, now, FIELDS), emptied)
+
+    def _removed(self, now: DataFrame | None) -> DataFrame:
+        if now is None:
+            return self.store.spark.createDataFrame([], COLUMNS)
+        rows = now.select(self._rows(now, FIELDS).alias("r"), F.lit(-1).alias("sign")).select("r.*", "sign")
+        return self.statistics.change(rows, self.statistics.emptied(rows.select(*PARTS, "sign")))
+
     def upsert(self, batch: int, incoming: DataFrame) -> bool:
         """Merge by key; keys are unique in a batch and not null."""
         keys = self.store.keys
         bad = incoming.groupBy(*keys).count().where("count > 1 OR " + " OR ".join(f"`{k}` IS NULL" for k in keys))
         if not bad.isEmpty():
             raise ValueError(f"batch {batch} refused: repeated or null keys")
-        if not self.statistics.add(batch, signed_counts(self._replaced(incoming))):
+        if not self.statistics.add(batch, self._replaced(incoming)):
             return False
         self.store.upsert(incoming)
         self.statistics.finish(batch)
@@ -155,9 +193,7 @@ class IndexedChunks:
 
     def delete(self, batch: int, gone: DataFrame, on: list[str]) -> bool:
         """Remove the rows that match ``gone`` on the given columns."""
-        now = self.store.lookup(gone, on)
-        taken = self.store.spark.createDataFrame([], COLUMNS) if now is None else signed_counts(now.select(self._rows(now).alias("r"), F.lit(-1).alias("sign")).select("r.*", "sign"))
-        if not self.statistics.add(batch, taken):
+        if not self.statistics.add(batch, self._removed(self.store.lookup(gone, on))):
             return False
         self.store.delete(gone, on)
         self.statistics.finish(batch)

@@ -101,3 +101,20 @@ def test_only_changed_rows_are_counted(spark):
     sizes = [n for _, n in x.statistics.manifest()["folders"]]
     assert sizes == [202, 4]  # common, word7 and other, and the cell
     assert kept(x) == recount(x.store.read())
+
+
+def test_texts_of_an_emptied_cell_are_not_counted_again(spark, monkeypatch):
+    """A change of every chunk of a cell counted all old texts with -1."""
+    from fathomline.sources import termstats
+
+    x, seen = indexed(spark), []
+    count = termstats._counted
+    monkeypatch.setattr(termstats, "_counted", lambda rows: (seen.append(sorted((r.ticker, r.sign) for r in rows.collect())), count(rows))[1])
+    old = spark.createDataFrame([("a", "draft", None, "risk", "one two two"), ("b", "draft", None, "risk", "two"), ("c", "MSFT", None, "risk", "six")], SCHEMA)
+    x.upsert(0, old)
+    x.upsert(1, spark.createDataFrame([("a", "AAPL", None, "risk", "one two"), ("b", "MSFT", None, None, None), ("d", "AAPL", None, "risk", "two")], SCHEMA))
+    assert seen[1] == [("AAPL", 1), ("AAPL", 1), ("MSFT", 1)]
+    assert kept(x) == recount(x.store.read())
+    x.delete(2, spark.createDataFrame([("a",), ("d",), ("c",)], "chunk_id string"), ["chunk_id"])
+    assert seen[2] == [("MSFT", -1)]
+    assert kept(x) == recount(x.store.read()) == ({("MSFT||risk", "two"): (1, 1)}, {"MSFT||risk": (1, 1)})
