@@ -23,7 +23,6 @@ from ..fixed import BM25_EPSILON
 from ..functions.termcounts import count_terms
 from ..operators.postings import scope_statistics
 from ..operators.scopes import PARTS, cell
-from ..session import stored
 from .snapshots import Manifested, SnapshotStore
 
 GROWTH = 2
@@ -109,7 +108,9 @@ class TermStatistics(Manifested):
         if not self.manifest()["folders"]:
             return None
         n = self.cells().select(*PARTS, "n").unionByName(moves.select(*_parts(), F.col("sign").cast("long").alias("n")))
-        found = stored(n.groupBy(*PARTS).agg(F.sum("n").alias("n")).where("n = 0").select(*PARTS), "emptied")
+        found, path = n.groupBy(*PARTS).agg(F.sum("n").alias("n")).where("n = 0").select(*PARTS), f"{self.root}/emptied/e{uuid.uuid4().hex}"
+        found.write.parquet(path)
+        found = self.spark.read.schema(found.schema).parquet(path)
         return None if found.isEmpty() else found
 
     def change(self, rows: DataFrame, emptied: DataFrame | None) -> DataFrame:

@@ -108,6 +108,7 @@ def test_texts_of_an_emptied_cell_are_not_counted_again(spark, monkeypatch):
     from fathomline.sources import termstats
 
     x, seen = indexed(spark), []
+    monkeypatch.setattr("fathomline.session.shared_folder", None)  # all files lie below the statistics' own folder
     count = termstats._counted
     monkeypatch.setattr(termstats, "_counted", lambda rows: (seen.append(sorted((r.ticker, r.sign) for r in rows.collect())), count(rows))[1])
     old = spark.createDataFrame([("a", "draft", None, "risk", "one two two"), ("b", "draft", None, "risk", "two"), ("c", "MSFT", None, "risk", "six")], SCHEMA)
